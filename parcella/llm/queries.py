@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parcella.llm import bpe, linededup, mixing, simhash
+from parcella.llm import bpe, itq, linededup, mixing, onebit, simhash
 from parcella.llm.common import read_table
 
 
@@ -19,11 +19,19 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "lines_removed", F.length("text").cast("long").alias("chars_kept"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op3_itq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return itq.near_dedup(read_table(spark, sf_dir, "embeddings"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(read_table(spark, sf_dir, "documents"))
     return mixed.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op9_onebit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return onebit.search(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -35,7 +43,9 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_line_dedup": op2_line_dedup,
+    "op3_itq": op3_itq,
     "op4_mixing": op4_mixing,
+    "op9_onebit": op9_onebit,
     "op10_bpe": op10_bpe,
 }
 ORACLE_SQL: dict[str, str] = {"op2_line_dedup": linededup.SQL, "op4_mixing": mixing.SQL}
