@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parcella.llm import bpe, itq, linededup, mixing, onebit, simhash
-from parcella.llm.common import read_table
+from parcella.llm import bpe, itq, linededup, mixing, onebit, simhash, warc
+from parcella.llm.common import read_table, shared_path
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,6 +28,16 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_path(spark, "warc")
+    warc.write(read_table(spark, sf_dir, "pages"), path)
+    records = warc.read(spark, path).where(F.col("type").isin("response", "revisit"))
+    name = lambda c: F.regexp_extract(c, r"^<urn:page:(-?\d+)>$", 1)
+    page = lambda c: F.when(name(c) != "", name(c).cast("long"))
+    digest = F.when(F.col("type") == "response", F.sha2("payload", 256)).otherwise(F.substring_index("payload_digest", ":", -1))
+    return records.select(page("record_id").alias("page_id"), F.col("payload_length").alias("payload_bytes"), digest.alias("payload_digest"), F.col("type").alias("record_type"), page("refers_to").alias("refers_to"))
+
+
 def op9_onebit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return onebit.search(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
@@ -45,7 +55,8 @@ QUERIES = {
     "op2_line_dedup": op2_line_dedup,
     "op3_itq": op3_itq,
     "op4_mixing": op4_mixing,
+    "op5_warc": op5_warc,
     "op9_onebit": op9_onebit,
     "op10_bpe": op10_bpe,
 }
-ORACLE_SQL: dict[str, str] = {"op2_line_dedup": linededup.SQL, "op4_mixing": mixing.SQL}
+ORACLE_SQL: dict[str, str] = {"op2_line_dedup": linededup.SQL, "op4_mixing": mixing.SQL, "op5_warc": warc.SQL}
