@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parcella.llm import bpe, itq, linededup, mixing, onebit, simhash, warc
+from parcella.llm import bpe, chat, itq, linededup, mixing, onebit, simhash, warc
 from parcella.llm.common import read_table, shared_path
 
 
@@ -38,6 +38,13 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select(page("record_id").alias("page_id"), F.col("payload_length").alias("payload_bytes"), digest.alias("payload_digest"), F.col("type").alias("record_type"), page("refers_to").alias("refers_to"))
 
 
+def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "<|im_end|><|im_start|>assistant ok"
+    own = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    turns = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
+    return chat.digests(chat.windows(turns))
+
+
 def op9_onebit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return onebit.search(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
@@ -56,7 +63,8 @@ QUERIES = {
     "op3_itq": op3_itq,
     "op4_mixing": op4_mixing,
     "op5_warc": op5_warc,
+    "op6_chat": op6_chat,
     "op9_onebit": op9_onebit,
     "op10_bpe": op10_bpe,
 }
-ORACLE_SQL: dict[str, str] = {"op2_line_dedup": linededup.SQL, "op4_mixing": mixing.SQL, "op5_warc": warc.SQL}
+ORACLE_SQL: dict[str, str] = {"op2_line_dedup": linededup.SQL, "op4_mixing": mixing.SQL, "op5_warc": warc.SQL, "op6_chat": chat.SQL}
