@@ -7,7 +7,7 @@ system turn, if its first turn is one, and repeats up to `history_turns` turns b
 Assistant turns of the window itself are targets, given as spans of the formatted text; repeated ones are masked.
 
 A turn is written as <|im_start|>, role, line feed, text, <|im_end|>, line feed. In roles and texts a backslash is doubled
-and <| becomes <\\|, so that no text can hold a control string; a role's line feeds become \; . Both are undone exactly.
+and <| becomes <\\|, so that no text can hold a control string; a role's line feeds become a backslash and a semicolon. Both are undone exactly.
 
 Native DataFrame operations throughout. Prefix sums, order and history are found within blocks of BLOCK turn numbers and
 carried between blocks by per-block rows, so a conversation with a third of all rows is many tasks' work.
@@ -37,7 +37,7 @@ def escape(text: Column) -> Column:
 
 def unescape(text: Column) -> Column:
     """Undoes escape and, for roles, line feeds: between doubled backslashes, a single one only marks what follows."""
-    part = lambda x: F.replace(F.replace(x, F.lit("\\|"), F.lit("|")), F.lit("\;"), F.lit("\n"))
+    part = lambda x: F.replace(F.replace(x, F.lit("\\|"), F.lit("|")), F.lit("\\;"), F.lit("\n"))
     return F.array_join(F.transform(F.split(text, r"\\\\", -1), part), "\\")
 
 
@@ -88,7 +88,7 @@ def _within(history: Column) -> Column:
 
 
 def _render(t: Column) -> Column:
-    return F.concat(F.lit(START), F.replace(escape(t["role"]), F.lit("\n"), F.lit("\;")), F.lit("\n"), escape(t["text"]), F.lit(END + "\n"))
+    return F.concat(F.lit(START), F.replace(escape(t["role"]), F.lit("\n"), F.lit("\\;")), F.lit("\n"), escape(t["text"]), F.lit(END + "\n"))
 
 
 def windows(rows: DataFrame, budget: int = BUDGET) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parcella.llm import bpe, chat, itq, linededup, mixing, onebit, simhash, warc
+from parcella.llm import bpe, chat, itq, linededup, mixing, onebit, simhash, toxicity, warc
 from parcella.llm.common import read_table, shared_path
 
 
@@ -45,6 +45,19 @@ def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.windows(turns))
 
 
+def learnable(id_col: str = "doc_id"):
+    """Rows whose labels may be learned from; the rest is held out."""
+    return F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 != 0
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    model = toxicity.fit(*toxicity.sample(docs, read_table(spark, sf_dir, "labels"), learnable()))
+    scored = toxicity.score(docs, model)
+    held_out = ~F.coalesce(learnable("id"), F.lit(True))
+    return scored.select(F.col("id").alias("doc_id"), held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op9_onebit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return onebit.search(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
@@ -64,6 +77,7 @@ QUERIES = {
     "op4_mixing": op4_mixing,
     "op5_warc": op5_warc,
     "op6_chat": op6_chat,
+    "op8_toxicity": op8_toxicity,
     "op9_onebit": op9_onebit,
     "op10_bpe": op10_bpe,
 }
