@@ -68,14 +68,38 @@ def thresholds(sized: DataFrame, wanted: DataFrame) -> DataFrame:
     return state.select("source", (F.col("prefix") + nearer.cast("long")).alias("below"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """(id, source, size, source_size, target, copies): how often every row of docs is taken."""
-    sized = stored(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), hash48(id_col).alias("hash")), "mixing")
+def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """(id, source, size, hash) of every row of docs, written once, as several passes follow."""
+    return stored(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), hash48(id_col).alias("hash")), "mixing")
+
+
+def plan(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
+    """A row per source, written, so that a join with it knows its size; its columns are marked, as they meet any others."""
     goals = targets(sized.groupBy("source").agg(F.sum("size").alias("words")), weights, most)
     below = thresholds(sized, goals).select(F.col("source").alias("b"), "below")
-    plan = goals.join(below, goals["source"].eqNullSafe(below["b"]), "left").select(F.col("source").alias("g"), "words", "target", F.col("copies").alias("whole"), "below")
-    joined = sized.join(plan, sized["source"].eqNullSafe(plan["g"]), "left")
-    return joined.select("id", "source", "size", F.col("words").alias("source_size"), "target", (F.coalesce("whole", F.lit(0)) + F.coalesce(F.col("hash") < F.col("below"), F.lit(False)).cast("long")).alias("copies"))
+    rows = goals.join(below, goals["source"].eqNullSafe(below["b"]), "left")
+    return stored(rows.select(F.col("source").alias("__source"), F.col("words").alias("__words"), F.col("target").alias("__target"), F.col("copies").alias("__whole"), F.col("below").alias("__below")), "mixplan")
+
+
+def copies(rows: DataFrame, sources: DataFrame, hashed: Column, source_col: str = "source") -> DataFrame:
+    """rows with the columns of sources and __copies, how often each is taken."""
+    joined = rows.withColumn("__hash", hashed).join(sources, rows[source_col].eqNullSafe(sources["__source"]), "left")
+    taken = F.coalesce("__whole", F.lit(0)) + F.coalesce(F.col("__hash") < F.col("__below"), F.lit(False)).cast("long")
+    return joined.withColumn("__copies", taken)
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """(id, source, size, source_size, target, copies): how often every row of docs is taken."""
+    sized = measured(docs, id_col, text_col, source_col)
+    taken = copies(sized, plan(sized, weights, most), F.col("hash"))
+    return taken.select("id", "source", "size", F.col("__words").alias("source_size"), F.col("__target").alias("target"), F.col("__copies").alias("copies"))
+
+
+def mixture(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The rows of docs, each as often as it is taken. Texts stay where they are."""
+    sources = plan(measured(docs, id_col, text_col, source_col), weights, most)
+    taken = copies(docs, sources, hash48(id_col), source_col).where("__copies > 0")
+    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select(*docs.columns)
 
 
 #: DuckDB: sizes and hashes, targets by the same sharing, and the documents in the order of their hashes.

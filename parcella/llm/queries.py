@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parcella.llm import bpe, chat, itq, linededup, mixing, onebit, simhash, toxicity, warc
+from parcella.llm import bpe, chat, itq, license, linededup, mixing, onebit, simhash, toxicity, warc
 from parcella.llm.common import read_table, shared_path
 
 
@@ -45,6 +45,14 @@ def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.windows(turns))
 
 
+def op7_license(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    whole = license.scan_texts(docs)
+    lines = license.scan_lines(docs).groupBy(F.col("id").alias("line_of")).agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set("license")), ";").alias("names"))
+    joined = whole.join(lines, F.col("id").eqNullSafe(F.col("line_of")), "left")
+    return joined.select(F.col("id").alias("doc_id"), F.col("digest").alias("canonical_sha256"), "license", F.coalesce("n", F.lit(0)).alias("notice_lines"), F.coalesce("names", F.lit("")).alias("notices"))
+
+
 def learnable(id_col: str = "doc_id"):
     """Rows whose labels may be learned from; the rest is held out."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 != 0
@@ -77,8 +85,9 @@ QUERIES = {
     "op4_mixing": op4_mixing,
     "op5_warc": op5_warc,
     "op6_chat": op6_chat,
+    "op7_license": op7_license,
     "op8_toxicity": op8_toxicity,
     "op9_onebit": op9_onebit,
     "op10_bpe": op10_bpe,
 }
-ORACLE_SQL: dict[str, str] = {"op2_line_dedup": linededup.SQL, "op4_mixing": mixing.SQL, "op5_warc": warc.SQL, "op6_chat": chat.SQL}
+ORACLE_SQL: dict[str, str] = {"op2_line_dedup": linededup.SQL, "op4_mixing": mixing.SQL, "op5_warc": warc.SQL, "op6_chat": chat.SQL, "op7_license": license.SQL}
