@@ -1,13 +1,14 @@
 """Line dedup: an exact set-similarity join of lines, of which later matches are removed.
 
-A line is a text's piece between line feeds, its tokens the distinct words in lower case (A-Z only). A line with at
+A line is a text's piece between line feeds, its tokens the distinct words, parted by blanks, in lower case. A line with at
 least `min_words` tokens is removed if an earlier one, by (id, line number), has a Jaccard similarity of `threshold`
 or more. Shorter lines are never touched. What is removed again matches lines after it, so the decision about a line
 depends on the lines before it only and not on any order of work.
 
 Native DataFrame operations throughout:
 1. Words are counted by hash bucket (a table of RARITY entries, whatever the corpus), and every line's tokens are put in
-   order of their bucket's count, rarest first. The join is exact under any fixed order; a good one makes it cheap.
+   order of their bucket's count, rarest first, and then longest first, which parts the rare words that share a bucket.
+   The join is exact under any fixed order; a good one makes it cheap.
 2. Lines with equal token sets collapse to the first of them.
 3. Two lines of similarity t share a token among the first n - ceil(t n) + 1 of each. Lines meet by such prefix tokens;
    the positional filter bounds the overlap from the positions of the shared token, the length filter from the sizes, and
@@ -26,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from parcella.llm.common import SPACE, lower_ascii, stored
+from parcella.llm.common import stored
 
 THRESHOLD, MIN_WORDS = 0.8, 5
 #: Entries of the table of word counts by hash bucket, and of the table of documents that take part in verification.
@@ -39,7 +40,7 @@ def _bit(place: Column) -> Column:
 
 
 def words_of(line: Column) -> Column:
-    return F.array_remove(F.array_distinct(F.split(lower_ascii(line), SPACE)), "")
+    return F.array_remove(F.array_distinct(F.split(F.lower(line), " ", -1)), "")
 
 
 def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -52,8 +53,8 @@ def line_hash(number: Column, line: Column) -> Column:
 
 def rarity(docs: DataFrame, text_col: str) -> Column:
     """An array literal: for every bucket of word hashes, the size class of its words' count over all texts."""
-    words = docs.select(F.explode(F.split(lower_ascii(F.col(text_col)), SPACE)).alias("w"))
-    counts = words.groupBy(F.pmod(F.xxhash64("w"), F.lit(RARITY)).alias("b")).count().select("b", F.least(F.lit(120), F.floor(F.log2("count") * 4)).cast("int").alias("c"))
+    words = docs.select(F.explode(F.split(F.replace(F.lower(F.col(text_col)), F.lit("\n"), F.lit(" ")), " ", -1)).alias("w"))
+    counts = words.groupBy(F.xxhash64("w").bitwiseAND(F.lit(RARITY - 1)).alias("b")).count().select("b", F.least(F.lit(60), F.floor(F.log2("count") * 2)).cast("int").alias("c"))
     table = ["0"] * RARITY
     for r in counts.collect():  # RARITY rows at most
         table[r["b"]] = str(r["c"])
@@ -63,28 +64,35 @@ def rarity(docs: DataFrame, text_col: str) -> Column:
 def token_sets(docs: DataFrame, threshold: float, min_words: int, id_col: str, text_col: str) -> DataFrame:
     """Of each line with enough tokens: its place, size, digests of its token set, prefix tokens and parity bits."""
     classes = rarity(docs, text_col)
-    keyed = lines_of(docs, id_col, text_col).withColumn("words", words_of(F.col("line"))).withColumn("n", F.size("words")).where(F.col("n") >= min_words)
 
     def key(w: Column) -> Column:
+        """Six bits of rarity, five of length and the rest of the word's hash."""
         h = F.xxhash64(w)
-        return F.shiftleft(F.get(classes, F.pmod(h, F.lit(RARITY)).cast("int")).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
+        rank = F.coalesce(F.get(classes, h.bitwiseAND(F.lit(RARITY - 1)).cast("int")), F.lit(0)) * 32 + (31 - F.least(F.lit(31), F.length(w)))
+        return F.shiftleft(rank.cast("long"), 52).bitwiseOR(F.shiftrightunsigned(h, 12))
 
-    ordered = keyed.withColumn("keys", F.array_sort(F.transform("words", key)))
+    lined = lines_of(docs, id_col, text_col).withColumn("keys", F.sort_array(F.array_distinct(F.transform(F.array_remove(F.split(F.lower(F.col("line")), " ", -1), ""), key)))).withColumn("n", F.size("keys"))
     size = (F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).cast("int")
     bits = F.aggregate("keys", F.lit(0).cast("long"), lambda a, k: a.bitwiseXOR(_bit(k.bitwiseAND(F.lit(63)))))
-    return ordered.select(
+    return lined.where(F.col("n") >= min_words).select(
         "id", "line_no", line_hash(F.col("line_no"), F.col("line")).alias("line_hash"), "n", F.xxhash64("keys").alias("d1"), F.hash("keys").alias("d2"), F.slice("keys", 1, size).alias("prefix"), bits.alias("bits")
     )
 
 
+def _flagged(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """docs, parted by a bounded table of hashes of ids: those that ids may hold, and the rest."""
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(INVOLVED))
+    flag = lambda c: _bit(F.pmod(F.xxhash64(c, F.lit(7)), F.lit(64)))
+    table = ids.groupBy(slot(F.col("id")).alias("__slot")).agg(F.bit_or(flag(F.col("id"))).alias("__flags"))  # INVOLVED rows at most
+    marked = docs.join(F.broadcast(table), slot(F.col(id_col)) == F.col("__slot"), "left").withColumn("__may", F.coalesce(F.col("__flags").bitwiseAND(flag(F.col(id_col))) != 0, F.lit(False)))
+    return tuple(marked.where(c).select(*docs.columns) for c in (F.col("__may"), ~F.col("__may")))
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, threshold: float, id_col: str, text_col: str) -> DataFrame:
     """Those of pairs (x, y) of places whose lines are similar enough."""
     ends = pairs.select(F.col("x").alias("at")).unionByName(pairs.select(F.col("y").alias("at"))).distinct()
     # only documents in a bounded table of id hashes are split into lines and shuffled
-    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(INVOLVED))
-    flag = lambda c: _bit(F.pmod(F.xxhash64(c, F.lit(7)), F.lit(64)))
-    table = ends.groupBy(slot(F.col("at.id")).alias("slot")).agg(F.bit_or(flag(F.col("at.id"))).alias("flags"))  # INVOLVED rows at most
-    some = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("slot", slot(F.col("id"))).join(F.broadcast(table), "slot").where(F.col("flags").bitwiseAND(flag(F.col("id"))) != 0)
+    some, _ = _flagged(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), ends.select("at.id"), "id", "text")
     sets = lines_of(some, "id", "text").select(F.struct("id", "line_no").alias("at"), "line").join(ends, "at").select("at", words_of(F.col("line")).alias("words"))
     both = pairs.join(sets.select(F.col("at").alias("x"), F.col("words").alias("xw")), "x").join(sets.select(F.col("at").alias("y"), F.col("words").alias("yw")), "y")
     common = F.size(F.array_intersect("xw", "yw"))
@@ -94,38 +102,46 @@ def _verified(pairs: DataFrame, docs: DataFrame, threshold: float, id_col: str,
 def later_matches(docs: DataFrame, threshold: float = THRESHOLD, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, line_no, line_hash) of the lines to be removed."""
     sets = stored(token_sets(docs, threshold, min_words, id_col, text_col), "linesets")
-    firsts = stored(sets.groupBy("d1", "d2", "n", "prefix", "bits").agg(F.min(F.struct("id", "line_no")).alias("at"), F.count("*").alias("rows")), "linefirsts")
-    tokens = firsts.select(F.posexplode("prefix").alias("pos", "token"), "n", "bits", "at")
-    turn = Window.partitionBy("token").orderBy("at")
+    place = F.min(F.struct("id", "line_no"))
+    tokens = sets.groupBy("d1", "d2", "n", "prefix").agg(place.alias("at")).select(F.posexplode("prefix").alias("pos", "token"), "n", F.col("at.id").alias("id"), F.col("at.line_no").alias("line_no"))
+    turn = Window.partitionBy("token").orderBy("id", "line_no")
     groups = stored(tokens.withColumn("turn", F.row_number().over(turn)).withColumn("rows", F.count("*").over(Window.partitionBy("token"))).where("rows > 1").drop("rows"), "linetokens")
-    x = groups.select("token", F.col("pos").alias("xp"), F.col("n").alias("xn"), F.col("bits").alias("xb"), F.col("at").alias("x"), F.col("turn").alias("xt"))
-    y = groups.select("token", F.col("pos").alias("yp"), F.col("n").alias("yn"), F.col("bits").alias("yb"), F.col("at").alias("y"), F.col("turn").alias("yt"))
+    side = lambda k: groups.select("token", F.col("pos").alias(k + "p"), F.col("n").alias(k + "n"), F.struct("id", "line_no").alias(k), F.col("turn").alias(k + "t"))
+    x, y = side("x"), side("y")
     need = F.ceil((F.col("xn") + F.col("yn")) * (threshold / (1 + threshold)) - 1e-9)
     fits = (
         (F.col("x") < F.col("y"))
         & (F.least("xn", "yn") >= F.greatest("xn", "yn") * threshold - 1e-9)
         & (1 + F.least(F.col("xn") - F.col("xp") - 1, F.col("yn") - F.col("yp") - 1) >= need)
-        & (F.bit_count(F.col("xb").bitwiseXOR(F.col("yb"))) <= F.col("xn") + F.col("yn") - 2 * need)
     )
+    bits = sets.select(F.struct("id", "line_no").alias("at"), "bits", "n")
     near = None
     for part in (F.col("xt") <= LEADERS, F.col("xt") > LEADERS):
         left = y if near is None else y.join(near, "y", "left_anti")
-        pairs = stored(x.where(part).join(left, "token").where(fits).select("x", "y").distinct(), "linepairs")
-        found = stored(_verified(pairs, docs, threshold, id_col, text_col).select("y").distinct(), "linenear")
+        pairs = x.where(part).join(left, "token").where(fits).select("x", "y", need.alias("need")).distinct()
+        alike = pairs.join(bits.select(F.col("at").alias("x"), F.col("bits").alias("xb"), F.col("n").alias("xs")), "x").join(bits.select(F.col("at").alias("y"), F.col("bits").alias("yb"), F.col("n").alias("ys")), "y")
+        alike = stored(alike.where(F.bit_count(F.col("xb").bitwiseXOR(F.col("yb"))) <= F.col("xs") + F.col("ys") - 2 * F.col("need")).select("x", "y").distinct(), "linepairs")
+        found = stored(_verified(alike, docs, threshold, id_col, text_col).select("y").distinct(), "linenear")
         near = found if near is None else near.unionByName(found)
+    firsts = sets.groupBy("d1", "d2", "n").agg(place.alias("at"), F.count("*").alias("rows"))
     decided = firsts.join(near.select(F.col("y").alias("at"), F.lit(True).alias("near")), "at", "left").where("rows > 1 or near").select("d1", "d2", "n", "at", F.coalesce("near", F.lit(False)).alias("near"))
     return sets.join(decided, ["d1", "d2", "n"]).where(F.col("near") | (F.struct("id", "line_no") > F.col("at"))).select("id", "line_no", "line_hash")
 
 
 def dedup(docs: DataFrame, threshold: float = THRESHOLD, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text", removed_col: str | None = None) -> DataFrame:
     """docs without later matches among the lines of text_col; removed_col, if named, counts the lines removed."""
-    gone = later_matches(docs, threshold, min_words, id_col, text_col).groupBy(F.col("id").alias("__id")).agg(F.collect_set("line_hash").alias("__gone"))
+    gone = stored(later_matches(docs, threshold, min_words, id_col, text_col), "linegone")
+    some, rest = _flagged(docs, gone.select("id"), id_col, text_col)
+    gone = gone.groupBy(F.col("id").alias("__id")).agg(F.collect_set("line_hash").alias("__gone"))
     split = F.split(F.col(text_col), "\n", -1)
     kept = F.filter(split, lambda line, i: ~F.array_contains(F.col("__gone"), line_hash(i, line)))
-    joined = docs.join(gone, docs[id_col].eqNullSafe(gone["__id"]), "left")
+    joined = some.join(gone, some[id_col].eqNullSafe(gone["__id"]), "left")
     if removed_col:
         joined = joined.withColumn("__removed", F.when(F.col("__gone").isNull(), 0).otherwise(F.size(split) - F.size(kept)).cast("long"))
-    return joined.withColumn(text_col, F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))).select(*docs.columns, *([F.col("__removed").alias(removed_col)] if removed_col else []))
+        rest = rest.withColumn("__removed", F.lit(0).cast("long"))
+    joined = joined.withColumn(text_col, F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n")))
+    out = [*docs.columns, *([F.col("__removed").alias(removed_col)] if removed_col else [])]
+    return joined.select(*out).unionByName(rest.select(*out))
 
 
 #: DuckDB: the same join by exact word counts, and what is left of every text.
@@ -135,7 +151,7 @@ WITH lines AS (
   FROM documents WHERE text IS NOT NULL),
 sets AS (
   SELECT doc_id, ln, line,
-         list_sort(list_distinct(list_filter(regexp_split_to_array(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> ''))) AS words
+         list_sort(list_distinct(list_filter(string_split(lower(line), ' '), lambda x: x <> ''))) AS words
   FROM lines),
 long_enough AS (SELECT *, len(words) AS n FROM sets WHERE len(words) >= 5),
 firsts AS (SELECT words, any_value(n) AS n, min({'doc_id': doc_id, 'ln': ln}) AS place FROM long_enough GROUP BY words),
