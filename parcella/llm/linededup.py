@@ -52,12 +52,13 @@ def line_hash(number: Column, line: Column) -> Column:
 
 
 def rarity(docs: DataFrame, text_col: str) -> Column:
-    """An array literal: for every bucket of word hashes, the size class of its words' count over all texts."""
+    """An array literal: for every bucket of word hashes, the size class of its words' count over all texts, above five one bits,
+    from which a word's length is taken away."""
     words = docs.select(F.explode(F.split(F.replace(F.lower(F.col(text_col)), F.lit("\n"), F.lit(" ")), " ", -1)).alias("w"))
     counts = words.groupBy(F.xxhash64("w").bitwiseAND(F.lit(RARITY - 1)).alias("b")).count().select("b", F.least(F.lit(60), F.floor(F.log2("count") * 2)).cast("int").alias("c"))
-    table = ["0"] * RARITY
+    table = ["31"] * RARITY
     for r in counts.collect():  # RARITY rows at most
-        table[r["b"]] = str(r["c"])
+        table[r["b"]] = str(r["c"] * 32 + 31)
     return F.split(F.lit(",".join(table)), ",").cast("array<int>")
 
 
@@ -68,14 +69,16 @@ def token_sets(docs: DataFrame, threshold: float, min_words: int, id_col: str, t
     def key(w: Column) -> Column:
         """Six bits of rarity, five of length and the rest of the word's hash."""
         h = F.xxhash64(w)
-        rank = F.coalesce(F.get(classes, h.bitwiseAND(F.lit(RARITY - 1)).cast("int")), F.lit(0)) * 32 + (31 - F.least(F.lit(31), F.length(w)))
+        rank = F.coalesce(F.get(classes, h.bitwiseAND(F.lit(RARITY - 1)).cast("int")), F.lit(31)) - F.least(F.lit(31), F.length(w))
         return F.shiftleft(rank.cast("long"), 52).bitwiseOR(F.shiftrightunsigned(h, 12))
 
-    lined = lines_of(docs, id_col, text_col).withColumn("keys", F.sort_array(F.array_distinct(F.transform(F.array_remove(F.split(F.lower(F.col("line")), " ", -1), ""), key)))).withColumn("n", F.size("keys"))
+    keys = F.sort_array(F.array_distinct(F.transform(F.array_remove(F.split(F.lower(F.col("line")), " ", -1), ""), key)))
+    # explode keeps the optimizer from computing the keys again for every column that refers to them
+    lined = lines_of(docs, id_col, text_col).select("id", "line_no", line_hash(F.col("line_no"), F.col("line")).alias("line_hash"), F.explode(F.array(keys)).alias("keys")).withColumn("n", F.size("keys"))
     size = (F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).cast("int")
     bits = F.aggregate("keys", F.lit(0).cast("long"), lambda a, k: a.bitwiseXOR(_bit(k.bitwiseAND(F.lit(63)))))
     return lined.where(F.col("n") >= min_words).select(
-        "id", "line_no", line_hash(F.col("line_no"), F.col("line")).alias("line_hash"), "n", F.xxhash64("keys").alias("d1"), F.hash("keys").alias("d2"), F.slice("keys", 1, size).alias("prefix"), bits.alias("bits")
+        "id", "line_no", "line_hash", "n", F.xxhash64("keys").alias("d1"), F.hash("keys").alias("d2"), F.slice("keys", 1, size).alias("prefix"), bits.alias("bits")
     )
 
 
@@ -135,11 +138,11 @@ def dedup(docs: DataFrame, threshold: float = THRESHOLD, min_words: int = MIN_WO
     gone = gone.groupBy(F.col("id").alias("__id")).agg(F.collect_set("line_hash").alias("__gone"))
     split = F.split(F.col(text_col), "\n", -1)
     kept = F.filter(split, lambda line, i: ~F.array_contains(F.col("__gone"), line_hash(i, line)))
-    joined = some.join(gone, some[id_col].eqNullSafe(gone["__id"]), "left")
+    joined = some.join(gone, some[id_col].eqNullSafe(gone["__id"]), "left").select("*", F.explode(F.array(F.when(F.col("__gone").isNotNull(), kept))).alias("__kept"))
     if removed_col:
-        joined = joined.withColumn("__removed", F.when(F.col("__gone").isNull(), 0).otherwise(F.size(split) - F.size(kept)).cast("long"))
+        joined = joined.withColumn("__removed", F.when(F.col("__kept").isNull(), 0).otherwise(F.size(split) - F.size("__kept")).cast("long"))
         rest = rest.withColumn("__removed", F.lit(0).cast("long"))
-    joined = joined.withColumn(text_col, F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n")))
+    joined = joined.withColumn(text_col, F.when(F.col("__kept").isNull(), F.col(text_col)).otherwise(F.array_join("__kept", "\n")))
     out = [*docs.columns, *([F.col("__removed").alias(removed_col)] if removed_col else [])]
     return joined.select(*out).unionByName(rest.select(*out))
 
