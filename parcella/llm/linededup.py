@@ -102,30 +102,43 @@ def _verified(pairs: DataFrame, docs: DataFrame, threshold: float, id_col: str,
     return both.where(common >= F.lit(threshold) * (F.size("xw") + F.size("yw") - common) - 1e-9).select("x", "y")
 
 
+def _fits(x: Column, y: Column, threshold: float) -> Column:
+    """Whether an earlier line x and a line y that share a prefix token may be similar enough."""
+    need = F.ceil((x["n"] + y["n"]) * (threshold / (1 + threshold)) - 1e-9)
+    return (
+        (F.struct(x["id"], x["line_no"]) < F.struct(y["id"], y["line_no"]))
+        & (F.least(x["n"], y["n"]) >= F.greatest(x["n"], y["n"]) * threshold - 1e-9)
+        & (1 + F.least(x["n"] - x["pos"] - 1, y["n"] - y["pos"] - 1) >= need)
+        & (F.bit_count(x["bits"].bitwiseXOR(y["bits"])) <= x["n"] + y["n"] - 2 * need)
+    )
+
+
+def _verified_ends(pairs: DataFrame, docs: DataFrame, threshold: float, id_col: str, text_col: str) -> DataFrame:
+    """The later lines (y) of pairs that hold."""
+    some = stored(pairs.distinct(), "linepairs")
+    return stored(_verified(some, docs, threshold, id_col, text_col).select("y").distinct(), "linenear")
+
+
 def later_matches(docs: DataFrame, threshold: float = THRESHOLD, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, line_no, line_hash) of the lines to be removed."""
     sets = stored(token_sets(docs, threshold, min_words, id_col, text_col), "linesets")
     place = F.min(F.struct("id", "line_no"))
-    tokens = sets.groupBy("d1", "d2", "n", "prefix").agg(place.alias("at")).select(F.posexplode("prefix").alias("pos", "token"), "n", F.col("at.id").alias("id"), F.col("at.line_no").alias("line_no"))
-    turn = Window.partitionBy("token").orderBy("id", "line_no")
-    groups = stored(tokens.withColumn("turn", F.row_number().over(turn)).withColumn("rows", F.count("*").over(Window.partitionBy("token"))).where("rows > 1").drop("rows"), "linetokens")
-    side = lambda k: groups.select("token", F.col("pos").alias(k + "p"), F.col("n").alias(k + "n"), F.struct("id", "line_no").alias(k), F.col("turn").alias(k + "t"))
-    x, y = side("x"), side("y")
-    need = F.ceil((F.col("xn") + F.col("yn")) * (threshold / (1 + threshold)) - 1e-9)
-    fits = (
-        (F.col("x") < F.col("y"))
-        & (F.least("xn", "yn") >= F.greatest("xn", "yn") * threshold - 1e-9)
-        & (1 + F.least(F.col("xn") - F.col("xp") - 1, F.col("yn") - F.col("yp") - 1) >= need)
-    )
-    bits = sets.select(F.struct("id", "line_no").alias("at"), "bits", "n")
-    near = None
-    for part in (F.col("xt") <= LEADERS, F.col("xt") > LEADERS):
-        left = y if near is None else y.join(near, "y", "left_anti")
-        pairs = x.where(part).join(left, "token").where(fits).select("x", "y", need.alias("need")).distinct()
-        alike = pairs.join(bits.select(F.col("at").alias("x"), F.col("bits").alias("xb"), F.col("n").alias("xs")), "x").join(bits.select(F.col("at").alias("y"), F.col("bits").alias("yb"), F.col("n").alias("ys")), "y")
-        alike = stored(alike.where(F.bit_count(F.col("xb").bitwiseXOR(F.col("yb"))) <= F.col("xs") + F.col("ys") - 2 * F.col("need")).select("x", "y").distinct(), "linepairs")
-        found = stored(_verified(alike, docs, threshold, id_col, text_col).select("y").distinct(), "linenear")
-        near = found if near is None else near.unionByName(found)
+    tokens = sets.groupBy("d1", "d2", "n", "prefix", "bits").agg(place.alias("at")).select(F.posexplode("prefix").alias("pos", "token"), "n", "bits", F.col("at.id").alias("id"), F.col("at.line_no").alias("line_no"))
+    mine = F.struct("id", "line_no", "pos", "n", "bits")
+    order = Window.partitionBy("token").orderBy("id", "line_no")
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    ranked = tokens.withColumns({"turn": F.row_number().over(order), "rows": F.count("*").over(whole)} | {f"x{k}": F.nth_value(mine, k).over(whole) for k in range(1, LEADERS + 1)}).where("rows > 1")
+    # of every row: the pairs with its group's leaders that may match and, in larger groups, the row itself (x is null)
+    leaders = F.slice(F.array(*[F.col(f"x{k}") for k in range(1, LEADERS + 1)]), F.lit(1), F.least(F.col("rows").cast("int"), F.lit(LEADERS)))
+    itself = F.when(F.col("rows") > LEADERS, F.array(F.when(F.lit(False), mine))).otherwise(F.slice(F.array(mine), 1, 0))
+    met = ranked.select("token", "turn", mine.alias("y"), F.explode(F.concat(leaders, itself)).alias("x")).where(F.col("x").isNull() | _fits(F.col("x"), F.col("y"), threshold))
+    met = stored(met.select(F.when(F.col("x").isNull(), F.col("token")).alias("token"), "turn", "y", F.struct("x.id", "x.line_no").alias("x"), F.col("x").isNotNull().alias("pair")), "linetokens")
+    near = _verified_ends(met.where("pair").select("x", F.struct("y.id", "y.line_no").alias("y")), docs, threshold, id_col, text_col)
+    large = met.where("not pair").select("token", "turn", F.col("y").alias("line"), F.struct("y.id", "y.line_no").alias("y"))
+    later = large.join(near, "y", "left_anti").where(F.col("turn") > LEADERS + 1).select("token", "y", F.col("line").alias("yl"))
+    others = large.where(F.col("turn") > LEADERS).select("token", F.col("y").alias("x"), F.col("line").alias("xl"))
+    pairs = others.join(later, "token").where(_fits(F.col("xl"), F.col("yl"), threshold)).select("x", "y")
+    near = near.unionByName(_verified_ends(pairs, docs, threshold, id_col, text_col))
     firsts = sets.groupBy("d1", "d2", "n").agg(place.alias("at"), F.count("*").alias("rows"))
     decided = firsts.join(near.select(F.col("y").alias("at"), F.lit(True).alias("near")), "at", "left").where("rows > 1 or near").select("d1", "d2", "n", "at", F.coalesce("near", F.lit(False)).alias("near"))
     return sets.join(decided, ["d1", "d2", "n"]).where(F.col("near") | (F.struct("id", "line_no") > F.col("at"))).select("id", "line_no", "line_hash")
