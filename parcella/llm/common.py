@@ -2,15 +2,11 @@
 
 from __future__ import annotations
 
-import atexit
-import os
-import shutil
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from parcella.session import checkpointed, shared_path, stored  # noqa: F401
+
 #: Rows of one Arrow batch for operators on whole texts: bounds what a Python worker holds at once.
 TEXT_BATCH = 256
 
@@ -19,56 +15,8 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
-    set_dir = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if set_dir:
-        return set_dir
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        own = tempfile.mkdtemp(prefix="parcella-")
-        atexit.register(shutil.rmtree, own, ignore_errors=True)
-        spark.sparkContext.setCheckpointDir(own)
-        return "file://" + own
-    return os.path.dirname(spark.sparkContext._jsc.sc().getCheckpointDir().get())
-
-
-def checkpointed(df: DataFrame, eager: bool = True) -> DataFrame:
-    """df, cut from its lineage by a reliable checkpoint in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager)
-
-
-def shared_path(spark: SparkSession, label: str) -> str:
-    """A fresh path in the shared folder; it is deleted when the JVM ends."""
-    path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.mkdirs(at.getParent())
-    fs.deleteOnExit(at)
-    return path
-
-
-def drop_path(spark: SparkSession, path: str) -> None:
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-
-
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """df, written as a Parquet table in the shared folder and read again."""
-    spark = df.sparkSession
-    path = shared_path(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def lower_ascii(text: Column) -> Column:
-    """A-Z in lower case; every other character stays."""
-    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-
-
-#: What separates words, and what a word consists of, as the contracts state them.
-SPACE, WORD = r"[\x20\x09-\x0D]+", r"[^\x20\x09-\x0D]+"
+#: What a word consists of, as the contracts state it.
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 def word_count(text: Column) -> Column:

@@ -191,3 +191,20 @@ def near_dedup(vectors: DataFrame, threshold: float = 0.9, recall: float = 0.95,
     named = classes.join(degree, "id", "left").join(groups, "id", "left").select(F.col("vector").alias("v"), (F.col("rows") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "least").alias("component_id"))
     joined = rows.join(named, rows["vector"] == named["v"], "left")
     return joined.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "id").alias("component_id")).withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(False)))
+
+
+#: DuckDB: all pairs by brute force, and components by reachability.
+SQL = """
+WITH RECURSIVE v AS (
+  SELECT row_number() OVER () AS r, vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+good AS (
+  SELECT * FROM v WHERE e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+links AS (
+  SELECT a.r AS a, b.r AS b, b.vec_id FROM good a JOIN good b ON a.r <> b.r AND len(a.e) = len(b.e)
+  WHERE list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))) >= 0.9),
+reach(a, b, vec_id) AS (SELECT r, r, vec_id FROM v UNION SELECT x.a, l.b, l.vec_id FROM reach x JOIN links l ON x.b = l.a),
+least AS (SELECT a, min(vec_id) AS component_id FROM reach GROUP BY a),
+counts AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT v.vec_id, coalesce(c.n, 0)::BIGINT AS n_links, l.component_id, coalesce(v.vec_id = l.component_id, false) AS kept
+FROM v JOIN least l ON l.a = v.r LEFT JOIN counts c ON c.a = v.r
+"""

@@ -90,4 +90,4 @@ QUERIES = {
     "op9_onebit": op9_onebit,
     "op10_bpe": op10_bpe,
 }
-ORACLE_SQL: dict[str, str] = {"op2_line_dedup": linededup.SQL, "op4_mixing": mixing.SQL, "op5_warc": warc.SQL, "op6_chat": chat.SQL, "op7_license": license.SQL}
+ORACLE_SQL: dict[str, str] = {"op2_line_dedup": linededup.SQL, "op3_itq": itq.SQL, "op4_mixing": mixing.SQL, "op5_warc": warc.SQL, "op6_chat": chat.SQL, "op7_license": license.SQL}
