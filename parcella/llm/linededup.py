@@ -24,14 +24,16 @@ id is ordered first. Extra columns pass through; names used inside don't clash w
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parcella.llm.common import stored
 
 THRESHOLD, MIN_WORDS = 0.8, 5
-#: Entries of the table of word counts by hash bucket, and of the table of documents that take part in verification.
-RARITY, INVOLVED = 1 << 15, 1 << 16
+#: Entries of the table of word counts by hash bucket, and of tables of hashes of the rows that take part in a join.
+RARITY, INVOLVED = 1 << 17, 1 << 16
 LEADERS = 8
 
 
@@ -55,10 +57,12 @@ def rarity(docs: DataFrame, text_col: str) -> Column:
     """An array literal: for every bucket of word hashes, the size class of its words' count over all texts, above five one bits,
     from which a word's length is taken away."""
     words = docs.select(F.explode(F.split(F.replace(F.lower(F.col(text_col)), F.lit("\n"), F.lit(" ")), " ", -1)).alias("w"))
-    counts = words.groupBy(F.xxhash64("w").bitwiseAND(F.lit(RARITY - 1)).alias("b")).count().select("b", F.least(F.lit(60), F.floor(F.log2("count") * 2)).cast("int").alias("c"))
+    counts = words.groupBy(F.xxhash64("w").bitwiseAND(F.lit(RARITY - 1)).alias("b")).count().collect()  # RARITY rows at most
+    # up to twice the mean a bucket holds no frequent word; such words are all rare, and their lengths tell them apart
+    usual = 2 * max(1.0, sum(r["count"] for r in counts) / RARITY)
     table = ["31"] * RARITY
-    for r in counts.collect():  # RARITY rows at most
-        table[r["b"]] = str(r["c"] * 32 + 31)
+    for r in counts:
+        table[r["b"]] = str(min(60, max(0, math.ceil(2 * math.log2(r["count"] / usual)))) * 32 + 31)
     return F.split(F.lit(",".join(table)), ",").cast("array<int>")
 
 
@@ -82,21 +86,19 @@ def token_sets(docs: DataFrame, threshold: float, min_words: int, id_col: str, t
     )
 
 
-def _flagged(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """docs, parted by a bounded table of hashes of ids: those that ids may hold, and the rest."""
-    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(INVOLVED))
-    flag = lambda c: _bit(F.pmod(F.xxhash64(c, F.lit(7)), F.lit(64)))
-    table = ids.groupBy(slot(F.col("id")).alias("__slot")).agg(F.bit_or(flag(F.col("id"))).alias("__flags"))  # INVOLVED rows at most
-    marked = docs.join(F.broadcast(table), slot(F.col(id_col)) == F.col("__slot"), "left").withColumn("__may", F.coalesce(F.col("__flags").bitwiseAND(flag(F.col(id_col))) != 0, F.lit(False)))
-    return tuple(marked.where(c).select(*docs.columns) for c in (F.col("__may"), ~F.col("__may")))
+def _marked(rows: DataFrame, some: DataFrame, *keys: str) -> DataFrame:
+    """rows with __may: whether their keys can be among those of some, by a bounded table of hashes."""
+    slot, flag = F.pmod(F.xxhash64(*keys), F.lit(INVOLVED)), _bit(F.pmod(F.xxhash64(*keys, F.lit(7)), F.lit(64)))
+    table = some.groupBy(slot.alias("__slot")).agg(F.bit_or(flag).alias("__flags"))  # INVOLVED rows at most
+    return rows.join(F.broadcast(table), slot == F.col("__slot"), "left").withColumn("__may", F.coalesce(F.col("__flags").bitwiseAND(flag) != 0, F.lit(False))).drop("__slot", "__flags")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, threshold: float, id_col: str, text_col: str) -> DataFrame:
     """Those of pairs (x, y) of places whose lines are similar enough."""
     ends = pairs.select(F.col("x").alias("at")).unionByName(pairs.select(F.col("y").alias("at"))).distinct()
-    # only documents in a bounded table of id hashes are split into lines and shuffled
-    some, _ = _flagged(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), ends.select("at.id"), "id", "text")
-    sets = lines_of(some, "id", "text").select(F.struct("id", "line_no").alias("at"), "line").join(ends, "at").select("at", words_of(F.col("line")).alias("words"))
+    # only lines that a bounded table of hashes may hold are shuffled
+    lines = _marked(lines_of(docs, id_col, text_col), ends.select("at.id", "at.line_no"), "id", "line_no").where("__may")
+    sets = lines.select(F.struct("id", "line_no").alias("at"), "line").join(ends, "at").select("at", words_of(F.col("line")).alias("words"))
     both = pairs.join(sets.select(F.col("at").alias("x"), F.col("words").alias("xw")), "x").join(sets.select(F.col("at").alias("y"), F.col("words").alias("yw")), "y")
     common = F.size(F.array_intersect("xw", "yw"))
     return both.where(common >= F.lit(threshold) * (F.size("xw") + F.size("yw") - common) - 1e-9).select("x", "y")
@@ -123,15 +125,14 @@ def later_matches(docs: DataFrame, threshold: float = THRESHOLD, min_words: int
     """(id, line_no, line_hash) of the lines to be removed."""
     sets = stored(token_sets(docs, threshold, min_words, id_col, text_col), "linesets")
     place = F.min(F.struct("id", "line_no"))
-    tokens = sets.groupBy("d1", "d2", "n", "prefix", "bits").agg(place.alias("at")).select(F.posexplode("prefix").alias("pos", "token"), "n", "bits", F.col("at.id").alias("id"), F.col("at.line_no").alias("line_no"))
-    mine = F.struct("id", "line_no", "pos", "n", "bits")
-    order = Window.partitionBy("token").orderBy("id", "line_no")
+    tokens = sets.groupBy("d1", "d2", "n", "prefix", "bits").agg(place.alias("at")).select(F.posexplode("prefix").alias("pos", "token"), "n", "bits", "at").select("token", F.struct("at.id", "at.line_no", "pos", "n", "bits").alias("y"))
+    order = Window.partitionBy("token").orderBy("y")
     whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    ranked = tokens.withColumns({"turn": F.row_number().over(order), "rows": F.count("*").over(whole)} | {f"x{k}": F.nth_value(mine, k).over(whole) for k in range(1, LEADERS + 1)}).where("rows > 1")
+    ranked = tokens.withColumns({"turn": F.row_number().over(order), "rows": F.count("*").over(whole)} | {f"x{k}": F.nth_value("y", k).over(whole) for k in range(1, LEADERS + 1)}).where("rows > 1")
     # of every row: the pairs with its group's leaders that may match and, in larger groups, the row itself (x is null)
     leaders = F.slice(F.array(*[F.col(f"x{k}") for k in range(1, LEADERS + 1)]), F.lit(1), F.least(F.col("rows").cast("int"), F.lit(LEADERS)))
-    itself = F.when(F.col("rows") > LEADERS, F.array(F.when(F.lit(False), mine))).otherwise(F.slice(F.array(mine), 1, 0))
-    met = ranked.select("token", "turn", mine.alias("y"), F.explode(F.concat(leaders, itself)).alias("x")).where(F.col("x").isNull() | _fits(F.col("x"), F.col("y"), threshold))
+    itself = F.when(F.col("rows") > LEADERS, F.array(F.when(F.lit(False), F.col("y")))).otherwise(F.slice(F.array("y"), 1, 0))
+    met = ranked.select("token", "turn", "y", F.explode(F.concat(leaders, itself)).alias("x")).where(F.col("x").isNull() | _fits(F.col("x"), F.col("y"), threshold))
     met = stored(met.select(F.when(F.col("x").isNull(), F.col("token")).alias("token"), "turn", "y", F.struct("x.id", "x.line_no").alias("x"), F.col("x").isNotNull().alias("pair")), "linetokens")
     near = _verified_ends(met.where("pair").select("x", F.struct("y.id", "y.line_no").alias("y")), docs, threshold, id_col, text_col)
     large = met.where("not pair").select("token", "turn", F.col("y").alias("line"), F.struct("y.id", "y.line_no").alias("y"))
@@ -147,7 +148,8 @@ def later_matches(docs: DataFrame, threshold: float = THRESHOLD, min_words: int
 def dedup(docs: DataFrame, threshold: float = THRESHOLD, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text", removed_col: str | None = None) -> DataFrame:
     """docs without later matches among the lines of text_col; removed_col, if named, counts the lines removed."""
     gone = stored(later_matches(docs, threshold, min_words, id_col, text_col), "linegone")
-    some, rest = _flagged(docs, gone.select("id"), id_col, text_col)
+    marked = _marked(docs, gone.select(F.col("id").alias(id_col)), id_col)
+    some, rest = marked.where("__may").drop("__may"), marked.where("not __may").drop("__may")
     gone = gone.groupBy(F.col("id").alias("__id")).agg(F.collect_set("line_hash").alias("__gone"))
     split = F.split(F.col(text_col), "\n", -1)
     kept = F.filter(split, lambda line, i: ~F.array_contains(F.col("__gone"), line_hash(i, line)))
