@@ -41,7 +41,13 @@ def shared_path(spark: SparkSession, label: str) -> str:
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
-    """df, written as a Parquet table in the shared folder and read again."""
-    path = shared_path(df.sparkSession, label)
+    """df, written as a Parquet table in the shared folder and read again.
+
+    Executors keep the shuffle files of finished jobs until the driver collects the objects that stand for them; it is asked to
+    do so here, as what comes next needs none of them.
+    """
+    spark = df.sparkSession
+    path = shared_path(spark, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark.sparkContext._jvm.System.gc()
+    return spark.read.schema(df.schema).parquet(path)
