@@ -75,17 +75,19 @@ def canonical(text: Column) -> Column:
     return F.trim(words)
 
 
-def digest(text: Column) -> Column:
-    """The digest of a text's canonical form; null where that is empty."""
-    form = canonical(text)
-    return F.when(form != "", F.sha2(form.cast("binary"), 256))
+def digested(rows: DataFrame, text: str) -> DataFrame:
+    """rows with the digest of a text column's canonical form, null where that is empty. explode keeps the optimizer from
+    bringing a text into its form once for the comparison and once for the digest."""
+    formed = rows.select("*", F.explode(F.array(canonical(F.col(text)))).alias("__form"))
+    return formed.withColumn("digest", F.when(F.col("__form") != "", F.sha2(F.col("__form").cast("binary"), 256))).drop("__form")
 
 
 def known_digests(spark: SparkSession, known: DataFrame | None = None) -> DataFrame:
     """(digest, license) of known texts, a table of (license, text)."""
     if known is None:
         known = spark.createDataFrame(sorted(KNOWN.items()), "license string, text string")
-    return known.select(digest(F.col("text")).alias("known"), "license").where("known is not null").groupBy("known").agg(F.min("license").alias("license"))
+    rows = digested(known.select("license", "text"), "text").where("digest is not null")
+    return rows.groupBy(F.col("digest").alias("known")).agg(F.min("license").alias("license"))
 
 
 def _looked_up(rows: DataFrame, known: DataFrame | None, how: str) -> DataFrame:
@@ -97,13 +99,14 @@ def _looked_up(rows: DataFrame, known: DataFrame | None, how: str) -> DataFrame:
 
 def scan_texts(docs: DataFrame, known: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, digest, license): one row per row of docs; license is null where the whole text isn't a known one."""
-    return _looked_up(docs.select(F.col(id_col).alias("id"), digest(F.col(text_col)).alias("digest")), known, "left")
+    rows = digested(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "text")
+    return _looked_up(rows.drop("text"), known, "left")
 
 
 def scan_lines(docs: DataFrame, known: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, line_no, digest, license): the lines, counted from 0, that are known texts."""
     lines = docs.select(F.col(id_col).alias("id"), F.posexplode(F.split(F.col(text_col), "\n", -1)).alias("line_no", "line"))
-    return _looked_up(lines.select("id", "line_no", digest(F.col("line")).alias("digest")), known, "inner")
+    return _looked_up(digested(lines, "line").drop("line"), known, "inner")
 
 
 def _sql_form(text: str) -> str:
