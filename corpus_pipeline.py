@@ -1,7 +1,8 @@
-"""A corpus pipeline: toxicity, line dedup, SimHash near-dedup, mixing sources to target weights, byte-level BPE.
+"""A corpus pipeline: toxicity, line dedup, near-dedup, mixing sources to target weights, byte-level BPE.
 
 Every stage takes all documents that its predecessor kept and decides about them: toxic documents go, later matches of lines go,
-one document of each group of near copies stays (the one of smallest id), documents are taken as often as their
+one document of each group of near copies (Jaccard similarity of 0.8 on five-word shingles, see shingles.py; the stage keeps
+its name) stays, the one of smallest id, documents are taken as often as their
 source's target asks, and the result is encoded. Stages are written as Parquet between one another.
 """
 
@@ -11,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parcella.llm import bpe, linededup, mixing, simhash, toxicity
+from parcella.llm import bpe, linededup, mixing, shingles, toxicity
 from parcella.llm.common import read_table, shared_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -31,12 +32,10 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group the document of smallest id; rows that repeat an id go with its first text."""
-    groups = simhash.near_dedup(docs, words=5)
-    key = lambda c: F.coalesce(c, F.lit(-(2**63)))
-    kept = groups.where(F.col("id").eqNullSafe(F.col("component"))).select(key(F.col("id")).alias("__key")).distinct()
-    rows = docs.withColumn("__key", key(F.col("doc_id"))).join(kept, "__key", "left_semi")
-    return rows.groupBy("__key").agg(F.min(F.struct(*COLUMNS)).alias("r")).select(*(f"r.{c}" for c in COLUMNS))
+    """Of each group of near copies the row of smallest id (then text); rows of different groups may share an id or have none."""
+    groups = shingles.near_copies(docs.select(*COLUMNS))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), *COLUMNS)
+    return groups.groupBy("__group").agg(F.min(order).alias("r")).select(*(f"r.{c}" for c in COLUMNS))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
