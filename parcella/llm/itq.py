@@ -4,8 +4,9 @@ Rotations are learned on a bounded sample so that the signs of the rotated, cent
 little quantisation error. Cutting the codes of several rotations into substrings of `bits` bits gives a multi-index:
 vectors meet in the buckets of equal substrings, and pairs that meet are reranked by the cosine of the original vectors in
 double precision. The number of tables follows from `recall`, the share of pairs at exactly the threshold that is to be
-found; more similar pairs are found more surely. The substrings' length grows with the number of vectors, so that
-buckets don't.
+found; more similar pairs are found more surely. Centring widens the angle of a pair, the more the nearer its vectors are
+to the centre; the tables are counted for the angles that the sample's vectors have after it. The substrings' length grows
+with the number of vectors, so that buckets don't.
 
 Equal vectors collapse to a class first. Rows alone in their bucket leave before vectors move. Buckets over CELL rows are
 dealt into pairs of chunks. A pair counts in the first table where it meets, so that links are counted where they are
@@ -33,12 +34,14 @@ from parcella.llm.vectors import matrix, rotation, unit, usable
 
 #: Vectors that the rotations are learned on at most, and rows of a chunk of a large bucket.
 SAMPLE, CELL = 20_000, 1024
+#: Tables up to which codes are of centred vectors.
+MOST = 1024
 OUT = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("links", pa.int64())])
 
 
-def learn(sample: np.ndarray, count: int, rounds: int = 30) -> tuple[np.ndarray, np.ndarray]:
-    """The centre of unit vectors and count rotations after principal components (dim x dim each)."""
-    centre = sample.mean(axis=0)
+def learn(sample: np.ndarray, count: int, centred: bool = True, rounds: int = 30) -> tuple[np.ndarray, np.ndarray]:
+    """The centre of unit vectors (zero if not centred) and count rotations after principal components (dim x dim each)."""
+    centre = sample.mean(axis=0) if centred else np.zeros(sample.shape[1])
     _, axes = np.linalg.eigh(np.cov(sample.T, bias=True).reshape(sample.shape[1], -1))
     v = (sample - centre) @ axes
     turns = []
@@ -51,11 +54,35 @@ def learn(sample: np.ndarray, count: int, rounds: int = 30) -> tuple[np.ndarray,
     return centre, np.stack(turns)
 
 
-def tables_for(n: int, threshold: float, recall: float) -> tuple[int, int]:
-    """Bits of a substring and number of tables for n vectors."""
-    bits = max(20, math.ceil(math.log2(max(2, n))) + 4)
-    meet = (1 - math.acos(threshold) / math.pi) ** bits
-    return bits, math.ceil(math.log(1 - recall) / math.log1p(-meet))
+def tables_for(n: int, threshold: float, recall: float, spread: dict[int, np.ndarray] | None = None) -> tuple[int, int, set[int]]:
+    """Bits of a substring and number of tables for n vectors, and the lengths to be centred.
+
+    spread: by length, the squared distances of unit vectors from their centre. Vectors at distance r and at the threshold's
+    angle have 2 r^2 (1 - cosine after centring) = 2 (1 - threshold). A length whose vectors lie so close to their centre
+    that it would take over MOST tables isn't centred: its angles stay as they are, and its buckets are fuller.
+    """
+    plain = np.array([1 - math.acos(threshold) / math.pi])
+    agree = {d: np.maximum(1 - np.arccos(np.clip(1 - (1 - threshold) / np.maximum(r, 1e-12), -1, 1)) / math.pi, 1e-3) for d, r in (spread or {}).items()}
+
+    def length() -> int:
+        """At least what 20 bits say before centring: bits of wider angles say more each."""
+        typical = float(np.log(np.concatenate([*agree.values(), plain])).mean())
+        return max(math.ceil(20 * math.log(plain[0]) / min(math.log(plain[0]), typical)), math.ceil(math.log2(max(2, n))) + 4)
+
+    def needed(one: np.ndarray, bits: int) -> int:
+        apart, low, high = np.log1p(-(one**bits)), 0, 1
+        while high <= MOST << 20 and (-np.expm1(high * apart)).mean() < recall:
+            low, high = high, high * 2
+        while high - low > 1:
+            mid = (low + high) // 2
+            low, high = (low, mid) if (-np.expm1(mid * apart)).mean() >= recall else (mid, high)
+        return high
+
+    bits = length()
+    # longer substrings for many vectors take more tables even before centring
+    agree = {d: one for d, one in agree.items() if needed(one, bits) <= max(MOST, needed(plain, bits))}
+    bits = length()
+    return bits, max(needed(one, bits) for one in [*agree.values(), plain]), set(agree)
 
 
 def _codes(models: dict[int, tuple[np.ndarray, np.ndarray]], bits: int, tables: int):
@@ -170,11 +197,12 @@ def near_dedup(vectors: DataFrame, threshold: float = 0.9, recall: float = 0.95,
     good = rows.where(usable(F.col("vector")))
     classes = stored(good.groupBy("vector").agg(F.min("id").alias("least"), F.count("*").alias("rows")).withColumn("id", F.coalesce("least", F.xxhash64("vector"))), "itqclasses")
     n = classes.count()
-    bits, tables = tables_for(n, threshold, recall)
     models: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     seen = [np.asarray(r[0]) for r in classes.orderBy(F.xxhash64("id")).limit(sample).select("vector").collect()]
-    for dim in {len(v) for v in seen}:
-        models[dim] = learn(unit(np.stack([v for v in seen if len(v) == dim])), -(-bits * tables // dim))
+    known = {dim: unit(np.stack([v for v in seen if len(v) == dim])) for dim in {len(v) for v in seen}}
+    bits, tables, centred = tables_for(n, threshold, recall, {dim: ((u - u.mean(axis=0)) ** 2).sum(axis=1) for dim, u in known.items()})
+    for dim, u in known.items():
+        models[dim] = learn(u, -(-bits * tables // dim), dim in centred)
     coded = stored(classes.select("id", "rows", "vector").mapInArrow(_codes(models, bits, tables), "id long, rows long, vector array<double>, keys array<long>"), "itqcodes")
     keyed = coded.select("id", F.size("vector").alias("dim"), F.posexplode("keys").alias("table", "key"))
     bucket = ["dim", "table", "key"]
