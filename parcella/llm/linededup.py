@@ -1,6 +1,7 @@
 """Line dedup: an exact set-similarity join of lines, of which later matches are removed.
 
-A line is a text's piece between line feeds, its tokens the distinct words, parted by blanks, in lower case. A line with at
+A line is a text's piece between line feeds, its tokens the distinct words (parted by the six ASCII spaces, so that
+tabs part them and a CR before the line feed belongs to none), in lower case. A line with at
 least `min_words` tokens is removed if an earlier one, by (id, line number), has a Jaccard similarity of `threshold`
 or more. Shorter lines are never touched. What is removed again matches lines after it, so the decision about a line
 depends on the lines before it only and not on any order of work.
@@ -41,8 +42,13 @@ def _bit(place: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("long"), place.cast("int"))
 
 
+def pieces(text: Column) -> Column:
+    """The words of a text, and empty pieces between them: white space becomes blanks first, as one character splits faster."""
+    return F.split(F.translate(F.lower(text), "\t\n\x0b\x0c\r", " " * 5), " ", -1)
+
+
 def words_of(line: Column) -> Column:
-    return F.array_remove(F.array_distinct(F.split(F.lower(line), " ", -1)), "")
+    return F.array_remove(F.array_distinct(pieces(line)), "")
 
 
 def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -56,7 +62,7 @@ def line_hash(number: Column, line: Column) -> Column:
 def rarity(docs: DataFrame, text_col: str) -> Column:
     """An array literal: for every bucket of word hashes, the size class of its words' count over all texts, above five one bits,
     from which a word's length is taken away."""
-    words = docs.select(F.explode(F.split(F.replace(F.lower(F.col(text_col)), F.lit("\n"), F.lit(" ")), " ", -1)).alias("w"))
+    words = docs.select(F.explode(pieces(F.col(text_col))).alias("w"))
     counts = words.groupBy(F.xxhash64("w").bitwiseAND(F.lit(RARITY - 1)).alias("b")).count().collect()  # RARITY rows at most
     # up to twice the mean a bucket holds no frequent word; such words are all rare, and their lengths tell them apart
     usual = 2 * max(1.0, sum(r["count"] for r in counts) / RARITY)
@@ -76,7 +82,7 @@ def token_sets(docs: DataFrame, threshold: float, min_words: int, id_col: str, t
         rank = F.coalesce(F.get(classes, h.bitwiseAND(F.lit(RARITY - 1)).cast("int")), F.lit(31)) - F.least(F.lit(31), F.length(w))
         return F.shiftleft(rank.cast("long"), 52).bitwiseOR(F.shiftrightunsigned(h, 12))
 
-    keys = F.sort_array(F.array_distinct(F.transform(F.array_remove(F.split(F.lower(F.col("line")), " ", -1), ""), key)))
+    keys = F.sort_array(F.array_distinct(F.transform(F.array_remove(pieces(F.col("line")), ""), key)))
     # explode keeps the optimizer from computing the keys again for every column that refers to them
     lined = lines_of(docs, id_col, text_col).select("id", "line_no", line_hash(F.col("line_no"), F.col("line")).alias("line_hash"), F.explode(F.array(keys)).alias("keys")).withColumn("n", F.size("keys"))
     size = (F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).cast("int")
