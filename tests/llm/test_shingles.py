@@ -61,3 +61,12 @@ def test_near_copies_in_the_small_documents(spark):
     rows = sorted((r["doc_id"], r["text"]) for r in df.collect())
     label, _ = brute_groups([t for _, t in rows])
     assert sorted(r["doc_id"] for r in corpus_pipeline.one_of_near_copies(spark, df, "").collect()) == sorted(rows[k][0] for k in set(label))
+
+
+def test_rows_without_an_id_or_with_one_id_stay_if_their_texts_differ(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(30)) for x in "abc")
+    rows = [(None, a), (None, b), (None, a), (1, b), (2, c), (2, a.upper() + " end"), (2, " ".join(f"d{k}" for k in range(30)))]
+    got = sorted((r["doc_id"] or 0, r["text"]) for r in kept(spark, rows))
+    # an id goes before none; of the two copies of a without one and the near copy with id 2, that with an id stays
+    assert got == sorted([(1, b), (2, c), (2, rows[5][1]), (2, rows[6][1])])
+    assert len(kept(spark, [(None, a), (None, b), (None, c)])) == 3
