@@ -3,24 +3,28 @@
 A line is a text's piece between line feeds, its tokens the distinct words (parted by the six ASCII spaces, so that
 tabs part them and a CR before the line feed belongs to none), in lower case. A line with at
 least `min_words` tokens is removed if an earlier one, by (id, line number), has a Jaccard similarity of `threshold`
-or more. Shorter lines are never touched. What is removed again matches lines after it, so the decision about a line
-depends on the lines before it only and not on any order of work.
+or more. What is removed again matches lines after it, so the decision about a line depends on the lines before it only
+and not on any order of work.
 
 Native DataFrame operations throughout:
 1. Words are counted by hash bucket (a table of RARITY entries, whatever the corpus), and every line's tokens are put in
-   order of their bucket's count, rarest first, and then longest first, which parts the rare words that share a bucket.
-   The join is exact under any fixed order; a good one makes it cheap.
-2. Lines with equal token sets collapse to the first of them.
-3. Two lines of similarity t share a token among the first n - ceil(t n) + 1 of each. Lines meet by such prefix tokens;
-   the positional filter bounds the overlap from the positions of the shared token, the length filter from the sizes, and
-   parity bits of the token sets bound their difference.
-4. Jaccard is verified on the lines' words.
-Lines that share a prefix token are first held against the LEADERS earliest of them. In a group of near copies this
-decides nearly all lines, and only the undecided meet the rest, so a group doesn't emit all its pairs.
-
-Cases: null and empty texts have no lines to match and stay as they are. An equal line twice in one text is a later match
-too. Rows that repeat an id are one document: a line doesn't count as later than one with the same id and number. A null
-id is ordered first. Extra columns pass through; names used inside don't clash with them. A table of no rows gives none.
+   order of their bucket's count, rarest first. The join is exact under any fixed order; a good one makes it cheap.
+2. Lines with equal words in equal order are one node, named by a hash. Nodes may share a name: every pair is verified
+   on words, so that costs time at most.
+3. Two lines of similarity t share a token among the first n - ceil(t n) + 1 of each. Nodes meet by such prefix tokens;
+   very long lines share SHARED tokens of a prefix that is as much longer. The positional filter bounds the overlap from
+   the places of the shared token (which implies the length filter), and
+   parity bits of the token sets (128 for lines of over LONG words) bound their difference.
+4. Jaccard is verified on 64-bit hashes of the words. A node's likeliest partner, by shared prefix tokens, comes first; only nodes that it
+   doesn't decide have their other partners verified.
+Tokens that more than GROUP nodes share, or whose bucket is WARM times as full as the mean, don't emit pairs: their nodes
+are first held against the token's LEADERS earliest. In a group of near copies this decides nearly all, and only the
+undecided meet the rest. No task gathers a token's nodes for that.
+
+Cases: null and empty texts, and lines without words, have nothing to match and stay as they are. An equal line twice in one text is a
+later match too. Rows that repeat an id are one document: a line doesn't count as later than one with the same id and number. A null
+id is ordered first, and rows without an id count as one document. Extra columns pass through; names used inside don't clash
+with them. A table of no rows gives none.
 """
 
 from __future__ import annotations
@@ -32,140 +36,226 @@ from pyspark.sql import functions as F
 
 from parcella.llm.common import stored
 
-THRESHOLD, MIN_WORDS = 0.8, 5
+THRESHOLD, MIN_WORDS = 0.8, 1
 #: Entries of the table of word counts by hash bucket, and of tables of hashes of the rows that take part in a join.
-RARITY, INVOLVED = 1 << 17, 1 << 16
-LEADERS = 8
+RARITY, INVOLVED = 1 << 16, 1 << 18
+#: Bits of a token's hash below its bucket's size class.
+HASH = 54
+GROUP, WARM, LEADERS = 512, 16, 8
+#: Lines of more words have 64 parity bits more. Pairs of lines of more than VERY_LONG share SHARED prefix tokens at least.
+LONG, VERY_LONG, SHARED = 64, 128, 3
+#: Bytes of removed lines' numbers up to which they are sent to the documents; more meet them in a shuffled join.
+SENT = 64 << 20
 
 
 def _bit(place: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("long"), place.cast("int"))
 
 
-def pieces(text: Column) -> Column:
-    """The words of a text, and empty pieces between them: white space becomes blanks first, as one character splits faster."""
-    return F.split(F.translate(F.lower(text), "\t\n\x0b\x0c\r", " " * 5), " ", -1)
+def prepared(text: Column) -> Column:
+    """Lower case, and blanks for the other spaces within a line."""
+    out = F.lower(text)
+    for space in "\t\x0b\x0c\r":
+        out = F.replace(out, F.lit(space), F.lit(" "))
+    return out
 
 
-def words_of(line: Column) -> Column:
-    return F.array_remove(F.array_distinct(pieces(line)), "")
+def name(line: Column) -> tuple[Column, Column]:
+    """Two hashes of a line; the first names a node, both a class of equal lines."""
+    return F.xxhash64(line).alias("h1"), F.hash(line).alias("h2")
 
 
 def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.posexplode(F.split(F.col(text_col), "\n", -1)).alias("line_no", "line"))
+    """(id, text_hash, line_no, line, h1, h2) of the lines with a word; line is in lower case with blanks."""
+    text = F.col(text_col)
+    rows = docs.where(text.isNotNull()).select(F.col(id_col).alias("id"), F.xxhash64(text).alias("text_hash"), F.posexplode(F.split(prepared(text), "\n", -1)).alias("line_no", "line"))
+    return rows.where(F.trim("line") != "").select("*", *name(F.col("line")))
+
+
+def rarity(docs: DataFrame, text_col: str) -> tuple[Column, int]:
+    """For every bucket of word hashes a class (an array literal): six times the logarithm of its words' count over all texts,
+    from -128 on; and the class from which a bucket is WARM times as full as the mean."""
+    words = docs.select(F.explode(F.split(F.replace(prepared(F.col(text_col)), F.lit("\n"), F.lit(" ")), " ", -1)).alias("w"))
+    counts = words.groupBy(F.xxhash64("w").bitwiseAND(F.lit(RARITY - 1)).alias("b")).agg(F.count("*").alias("c")).collect()  # RARITY rows at most
+    of = lambda c: min(127, math.ceil(6 * math.log2(c + 1)) - 128)
+    table = ["-128"] * RARITY
+    for r in counts:
+        table[r["b"]] = str(of(r["c"]))
+    return F.split(F.lit(",".join(table)), ",").cast("array<tinyint>"), of(WARM * sum(r["c"] for r in counts) / RARITY)
+
+
+def _shared(n: Column) -> Column:
+    """How many prefix tokens a line has in common with any similar one, if prefixes are as much longer."""
+    return F.when(n > VERY_LONG, SHARED).otherwise(1)
+
+
+def nodes(docs: DataFrame, classes: Column, threshold: float, min_words: int, id_col: str, text_col: str) -> DataFrame:
+    """(h1, n, prefix, bits, more): of each different line its name, size, prefix tokens in order of rarity, and parity bits."""
+
+    def key(h: Column) -> Column:
+        of = F.coalesce(F.get(classes, h.bitwiseAND(F.lit(RARITY - 1)).cast("int")), F.lit(0)).cast("long")
+        return F.shiftleft(of, HASH).bitwiseOR(F.shiftrightunsigned(h, 64 - HASH))  # negative classes stay below others
+
+    def parity(keys: Column, from_bit: int) -> Column:
+        return F.aggregate(keys, F.lit(0).cast("long"), lambda a, k: a.bitwiseXOR(_bit(F.shiftrightunsigned(k, from_bit).bitwiseAND(F.lit(63)))))
+
+    def shape(keys: Column) -> Column:
+        """Everything that is told of a line's keys, which are computed once."""
+        n = F.size(keys)
+        size = (n - F.ceil(n * threshold - 1e-9) + _shared(n)).cast("int")
+        # of a long line either half tells about half the words
+        side = lambda odd: F.filter(keys, lambda k: k.bitwiseAND(F.lit(1)) == odd)
+        bits, more = F.when(n > LONG, parity(side(0), 1)).otherwise(parity(keys, 1)), F.when(n > LONG, parity(side(1), 1)).otherwise(F.lit(0))
+        return F.struct(n.alias("n"), F.slice(keys, 1, size).alias("prefix"), F.coalesce(bits, F.lit(0)).alias("bits"), F.coalesce(more, F.lit(0)).alias("more"))
+
+    hashes = F.array_remove(F.transform(F.split("line", " ", -1), lambda w: F.xxhash64(w)), F.xxhash64(F.lit("")))
+    keys = F.array_distinct(F.sort_array(F.transform(hashes, key)))
+    rows = lines_of(docs, id_col, text_col).select("h1", F.inline(F.transform(F.array(keys), shape)))
+    return rows.where(F.col("n") >= min_words).distinct()
+
+
+def _fits(a: str, b: str, threshold: float) -> Column:
+    """Whether two nodes that share a prefix token may be similar enough; left is what a node has from that token on."""
+    n = F.col(f"{a}.n") + F.col(f"{b}.n")
+    same = (F.col(f"{a}.n") > LONG) == (F.col(f"{b}.n") > LONG)
+    # bits of a long and a short line are not of the same words, but all of them together are
+    bits = lambda x: F.when(same, F.col(f"{x}.bits")).otherwise(F.col(f"{x}.bits").bitwiseXOR(F.col(f"{x}.more")))
+    differ = F.bit_count(bits(a).bitwiseXOR(bits(b))) + F.when(same, F.bit_count(F.col(f"{a}.more").bitwiseXOR(F.col(f"{b}.more")))).otherwise(0)
+    # the first shared token leaves all of the overlap, the next one less, and so on
+    return (F.least(f"{a}.left", f"{b}.left") >= n * (threshold / (1 + threshold)) - 1e-9 - (_shared(F.least(f"{a}.n", f"{b}.n")) - 1)) & (differ <= n * ((1 - threshold) / (1 + threshold)) + 1e-9)
+
+
+def candidates(docs: DataFrame, threshold: float, min_words: int, id_col: str, text_col: str) -> DataFrame:
+    """Pairs of names that share a prefix token and may match (a < b, n of the shorter, no token), and the nodes of tokens that many share (token, a, n, left, bits, more)."""
+    classes, hot = rarity(docs, text_col)
+    # an outer explode keeps the optimizer from asking first whether there is a prefix, which would compute it twice
+    tokens = nodes(docs, classes, threshold, min_words, id_col, text_col).select(F.posexplode_outer("prefix").alias("pos", "token"), "h1", "n", "bits", "more")
+    # what a join would infer is said here, so that all uses below share one shuffle
+    tokens = tokens.select("token", "h1", "n", (F.col("n") - F.col("pos")).alias("left"), "bits", "more").where("token is not null and left is not null")
+    warm = F.shiftright("token", HASH) >= hot
+    dealt = tokens.where(~warm)
+    counted = dealt.withColumn("rows", F.count("*").over(Window.partitionBy("token")))
+    some = counted.where((F.col("rows") > 1) & (F.col("rows") <= GROUP)).drop("rows")
+    met = some.alias("x").join(dealt.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.h1") < F.col("y.h1")) & _fits("x", "y", threshold))
+    none = lambda kind: F.lit(None).cast(kind)
+    pairs = met.select(none("long").alias("token"), F.col("x.h1").alias("a"), F.col("y.h1").alias("b"), F.least("x.n", "y.n").alias("n"), none("int").alias("left"), none("long").alias("bits"), none("long").alias("more"))
+    many = counted.where(F.col("rows") > GROUP).drop("rows").unionByName(tokens.where(warm))
+    return pairs.unionByName(many.select("token", F.col("h1").alias("a"), none("long").alias("b"), "n", "left", "bits", "more"))
 
 
-def line_hash(number: Column, line: Column) -> Column:
-    return F.xxhash64(number.cast("int"), line)
+def _marked(rows: DataFrame, some: DataFrame, *keys: str) -> DataFrame:
+    """rows with __may: whether their keys can be among those of some, by a bounded table of hashes."""
+    slot, flag = F.pmod(F.xxhash64(*keys), F.lit(INVOLVED)), _bit(F.pmod(F.xxhash64(*keys, F.lit(7)), F.lit(64)))
+    table = some.groupBy(slot.alias("__slot")).agg(F.bit_or(flag).alias("__flags"))  # INVOLVED rows at most
+    return rows.join(F.broadcast(table), slot == F.col("__slot"), "left").withColumn("__may", F.coalesce(F.col("__flags").bitwiseAND(flag) != 0, F.lit(False))).drop("__slot", "__flags")
 
 
-def rarity(docs: DataFrame, text_col: str) -> Column:
-    """An array literal: for every bucket of word hashes, the size class of its words' count over all texts, above five one bits,
-    from which a word's length is taken away."""
-    words = docs.select(F.explode(pieces(F.col(text_col))).alias("w"))
-    counts = words.groupBy(F.xxhash64("w").bitwiseAND(F.lit(RARITY - 1)).alias("b")).count().collect()  # RARITY rows at most
-    # up to twice the mean a bucket holds no frequent word; such words are all rare, and their lengths tell them apart
-    usual = 2 * max(1.0, sum(r["count"] for r in counts) / RARITY)
-    table = ["31"] * RARITY
-    for r in counts:
-        table[r["b"]] = str(min(60, max(0, math.ceil(2 * math.log2(r["count"] / usual)))) * 32 + 31)
-    return F.split(F.lit(",".join(table)), ",").cast("array<int>")
+def _hashes(line: Column) -> Column:
+    """The hashes of a line's different words."""
+    return F.array_distinct(F.array_remove(F.transform(F.split(line, " ", -1), lambda w: F.xxhash64(w)), F.xxhash64(F.lit(""))))
 
 
-def token_sets(docs: DataFrame, threshold: float, min_words: int, id_col: str, text_col: str) -> DataFrame:
-    """Of each line with enough tokens: its place, size, digests of its token set, prefix tokens and parity bits."""
-    classes = rarity(docs, text_col)
+def _placed(found: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Every line's (id, text_hash, line_no, h1, h2), and line for those whose name may be in found, by a bounded table of hashes."""
+    names = found.select(F.col("a").alias("h1")).unionByName(found.where("b is not null").select(F.col("b").alias("h1")))
+    lines = _marked(lines_of(docs, id_col, text_col), names, "h1")
+    return lines.select("id", "text_hash", "line_no", "h1", "h2", F.when(F.col("__may"), F.col("line")).alias("line"))
 
-    def key(w: Column) -> Column:
-        """Six bits of rarity, five of length and the rest of the word's hash."""
-        h = F.xxhash64(w)
-        rank = F.coalesce(F.get(classes, h.bitwiseAND(F.lit(RARITY - 1)).cast("int")), F.lit(31)) - F.least(F.lit(31), F.length(w))
-        return F.shiftleft(rank.cast("long"), 52).bitwiseOR(F.shiftrightunsigned(h, 12))
 
-    keys = F.sort_array(F.array_distinct(F.transform(F.array_remove(pieces(F.col("line")), ""), key)))
-    # explode keeps the optimizer from computing the keys again for every column that refers to them
-    lined = lines_of(docs, id_col, text_col).select("id", "line_no", line_hash(F.col("line_no"), F.col("line")).alias("line_hash"), F.explode(F.array(keys)).alias("keys")).withColumn("n", F.size("keys"))
-    size = (F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).cast("int")
-    bits = F.aggregate("keys", F.lit(0).cast("long"), lambda a, k: a.bitwiseXOR(_bit(k.bitwiseAND(F.lit(63)))))
-    return lined.where(F.col("n") >= min_words).select(
-        "id", "line_no", "line_hash", "n", F.xxhash64("keys").alias("d1"), F.hash("keys").alias("d2"), F.slice("keys", 1, size).alias("prefix"), bits.alias("bits")
-    )
+def _verified(pairs: DataFrame, ends: DataFrame, threshold: float) -> DataFrame:
+    """(h1, h2) of the later ones (y) of pairs (x1, x2, y1, y2) of classes that are similar enough, by 64-bit hashes of words."""
+    for end in "xy":
+        sets = _marked(ends, pairs.select(F.col(f"{end}1").alias("h1")), "h1").where("__may")
+        pairs = pairs.join(sets.select(F.col("h1").alias(f"{end}1"), F.col("h2").alias(f"{end}2"), F.col("line").alias(f"{end}_line")), [f"{end}1", f"{end}2"])
+    both = pairs.select("y1", "y2", F.explode(F.array(F.struct(*(_hashes(F.col(f"{e}_line")).alias(e) for e in "xy")))).alias("w"))
+    sized = both.select("y1", "y2", F.size(F.array_intersect("w.x", "w.y")).alias("common"), (F.size("w.x") + F.size("w.y")).alias("sum"))
+    return sized.where(F.col("common") >= F.lit(threshold) * (F.col("sum") - F.col("common")) - 1e-9).select(F.col("y1").alias("h1"), F.col("y2").alias("h2")).distinct()
 
 
-def _marked(rows: DataFrame, some: DataFrame, *keys: str) -> DataFrame:
-    """rows with __may: whether their keys can be among those of some, by a bounded table of hashes."""
-    slot, flag = F.pmod(F.xxhash64(*keys), F.lit(INVOLVED)), _bit(F.pmod(F.xxhash64(*keys, F.lit(7)), F.lit(64)))
-    table = some.groupBy(slot.alias("__slot")).agg(F.bit_or(flag).alias("__flags"))  # INVOLVED rows at most
-    return rows.join(F.broadcast(table), slot == F.col("__slot"), "left").withColumn("__may", F.coalesce(F.col("__flags").bitwiseAND(flag) != 0, F.lit(False))).drop("__slot", "__flags")
+def _later(pairs: DataFrame, ends: DataFrame, threshold: float) -> DataFrame:
+    """(h1, h2) of classes that match an earlier one by some of pairs (a, b, shared) of names."""
+    at = ends.select("h1", "h2", "at")
+    for end in "ab":
+        pairs = pairs.join(at.select(F.col("h1").alias(end), F.struct("at", F.col("h1").alias("n1"), F.col("h2").alias("n2")).alias(f"{end}_at")), end)
+    x, y = F.least("a_at", "b_at"), F.greatest("a_at", "b_at")
+    placed = stored(pairs.where(~F.col("a_at.at").eqNullSafe(F.col("b_at.at"))).select(x["n1"].alias("x1"), x["n2"].alias("x2"), y["n1"].alias("y1"), y["n2"].alias("y2"), "shared"), "linepairs")
+    best = placed.groupBy("y1", "y2").agg(F.max(F.struct("shared", "x1", "x2")).alias("m")).select("m.x1", "m.x2", "y1", "y2")
+    sure = stored(_verified(best, ends, threshold), "linenear")
+    rest = placed.join(sure.select(F.col("h1").alias("y1"), F.col("h2").alias("y2")), ["y1", "y2"], "left_anti").join(best, ["x1", "x2", "y1", "y2"], "left_anti")
+    return sure.unionByName(stored(_verified(rest, ends, threshold), "linenear"))
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, threshold: float, id_col: str, text_col: str) -> DataFrame:
-    """Those of pairs (x, y) of places whose lines are similar enough."""
-    ends = pairs.select(F.col("x").alias("at")).unionByName(pairs.select(F.col("y").alias("at"))).distinct()
-    # only lines that a bounded table of hashes may hold are shuffled
-    lines = _marked(lines_of(docs, id_col, text_col), ends.select("at.id", "at.line_no"), "id", "line_no").where("__may")
-    sets = lines.select(F.struct("id", "line_no").alias("at"), "line").join(ends, "at").select("at", words_of(F.col("line")).alias("words"))
-    both = pairs.join(sets.select(F.col("at").alias("x"), F.col("words").alias("xw")), "x").join(sets.select(F.col("at").alias("y"), F.col("words").alias("yw")), "y")
-    common = F.size(F.array_intersect("xw", "yw"))
-    return both.where(common >= F.lit(threshold) * (F.size("xw") + F.size("yw") - common) - 1e-9).select("x", "y")
+def _paired(xs: DataFrame, ys: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of names (a, b, shared) of earlier nodes xs and later nodes ys that share a token."""
+    met = xs.alias("x").join(ys.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.at") < F.col("y.at")) & _fits("x", "y", threshold))
+    return met.select(F.col("x.h1").alias("a"), F.col("y.h1").alias("b")).groupBy("a", "b").agg(F.count("*").alias("shared"))
 
 
-def _fits(x: Column, y: Column, threshold: float) -> Column:
-    """Whether an earlier line x and a line y that share a prefix token may be similar enough."""
-    need = F.ceil((x["n"] + y["n"]) * (threshold / (1 + threshold)) - 1e-9)
-    return (
-        (F.struct(x["id"], x["line_no"]) < F.struct(y["id"], y["line_no"]))
-        & (F.least(x["n"], y["n"]) >= F.greatest(x["n"], y["n"]) * threshold - 1e-9)
-        & (1 + F.least(x["n"] - x["pos"] - 1, y["n"] - y["pos"] - 1) >= need)
-        & (F.bit_count(x["bits"].bitwiseXOR(y["bits"])) <= x["n"] + y["n"] - 2 * need)
-    )
+def _led(many: DataFrame, ends: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The nodes of tokens that many share, (token, h1, n, left, bits, more), with their first place, and each token's LEADERS earliest."""
+    placed = stored(many.join(ends.groupBy("h1").agg(F.min("at").alias("at")), "h1"), "linemany")
+    turn = F.row_number().over(Window.partitionBy("token").orderBy("at", "h1"))
+    return placed, stored(placed.withColumn("turn", turn).where(F.col("turn") <= LEADERS).drop("turn"), "lineleaders")
 
 
-def _verified_ends(pairs: DataFrame, docs: DataFrame, threshold: float, id_col: str, text_col: str) -> DataFrame:
-    """The later lines (y) of pairs that hold."""
-    some = stored(pairs.distinct(), "linepairs")
-    return stored(_verified(some, docs, threshold, id_col, text_col).select("y").distinct(), "linenear")
+def _undecided(placed: DataFrame, leaders: DataFrame, ends: DataFrame, near: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of nodes beyond a token's leaders, of which the later one has not matched yet."""
+    # classes that share a name are decided one by one: a name is left out only if none of its classes is open
+    still = ends.select("h1", "h2").join(near, ["h1", "h2"], "left_anti").select("h1").distinct()
+    last = leaders.groupBy("token").agg(F.max(F.struct("at", "h1")).alias("last"), F.count("*").alias("n_leaders")).where(F.col("n_leaders") == LEADERS)
+    others = placed.join(last.select("token", "last"), "token").where(F.struct("at", "h1") > F.col("last")).drop("last")
+    return _paired(others, others.join(still, "h1", "left_semi"), threshold)
 
 
 def later_matches(docs: DataFrame, threshold: float = THRESHOLD, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, line_no, line_hash) of the lines to be removed."""
-    sets = stored(token_sets(docs, threshold, min_words, id_col, text_col), "linesets")
-    place = F.min(F.struct("id", "line_no"))
-    tokens = sets.groupBy("d1", "d2", "n", "prefix", "bits").agg(place.alias("at")).select(F.posexplode("prefix").alias("pos", "token"), "n", "bits", "at").select("token", F.struct("at.id", "at.line_no", "pos", "n", "bits").alias("y"))
-    order = Window.partitionBy("token").orderBy("y")
-    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    ranked = tokens.withColumns({"turn": F.row_number().over(order), "rows": F.count("*").over(whole)} | {f"x{k}": F.nth_value("y", k).over(whole) for k in range(1, LEADERS + 1)}).where("rows > 1")
-    # of every row: the pairs with its group's leaders that may match and, in larger groups, the row itself (x is null)
-    leaders = F.slice(F.array(*[F.col(f"x{k}") for k in range(1, LEADERS + 1)]), F.lit(1), F.least(F.col("rows").cast("int"), F.lit(LEADERS)))
-    itself = F.when(F.col("rows") > LEADERS, F.array(F.when(F.lit(False), F.col("y")))).otherwise(F.slice(F.array("y"), 1, 0))
-    met = ranked.select("token", "turn", "y", F.explode(F.concat(leaders, itself)).alias("x")).where(F.col("x").isNull() | _fits(F.col("x"), F.col("y"), threshold))
-    met = stored(met.select(F.when(F.col("x").isNull(), F.col("token")).alias("token"), "turn", "y", F.struct("x.id", "x.line_no").alias("x"), F.col("x").isNotNull().alias("pair")), "linetokens")
-    near = _verified_ends(met.where("pair").select("x", F.struct("y.id", "y.line_no").alias("y")), docs, threshold, id_col, text_col)
-    large = met.where("not pair").select("token", "turn", F.col("y").alias("line"), F.struct("y.id", "y.line_no").alias("y"))
-    later = large.join(near, "y", "left_anti").where(F.col("turn") > LEADERS + 1).select("token", "y", F.col("line").alias("yl"))
-    others = large.where(F.col("turn") > LEADERS).select("token", F.col("y").alias("x"), F.col("line").alias("xl"))
-    pairs = others.join(later, "token").where(_fits(F.col("xl"), F.col("yl"), threshold)).select("x", "y")
-    near = near.unionByName(_verified_ends(pairs, docs, threshold, id_col, text_col))
-    firsts = sets.groupBy("d1", "d2", "n").agg(place.alias("at"), F.count("*").alias("rows"))
-    decided = firsts.join(near.select(F.col("y").alias("at"), F.lit(True).alias("near")), "at", "left").where("rows > 1 or near").select("d1", "d2", "n", "at", F.coalesce("near", F.lit(False)).alias("near"))
-    return sets.join(decided, ["d1", "d2", "n"]).where(F.col("near") | (F.struct("id", "line_no") > F.col("at"))).select("id", "line_no", "line_hash")
+    """(id, text_hash, line_no) of the lines to be removed."""
+    found = stored(candidates(docs, threshold, min_words, id_col, text_col), "linefound")
+    # lines that share a token which many nodes have meet by that one alone
+    pairs = found.where("b is not null").groupBy("a", "b").agg(F.count("*").alias("shared"), F.max("n").alias("n")).where(F.col("shared") >= _shared(F.col("n"))).drop("n")
+    pairs, many = stored(pairs, "linepairs"), found.where("b is null").select("token", F.col("a").alias("h1"), "n", "left", "bits", "more")
+    found = pairs.select("a", "b").unionByName(many.select(F.col("h1").alias("a"), F.lit(None).cast("long").alias("b")))
+    lines = stored(_placed(found, docs, id_col, text_col), "linenames")
+    ends = stored(lines.where("line is not null").groupBy("h1", "h2").agg(F.min(F.struct("id", "line_no")).alias("at"), F.min("line").alias("line")), "lineends")
+    if many.isEmpty():
+        near = _later(pairs, ends, threshold)
+    else:
+        placed, leaders = _led(many, ends)
+        near = _later(pairs.unionByName(_paired(leaders, placed, threshold)), ends, threshold)
+        near = near.unionByName(_later(_undecided(placed, leaders, ends, near, threshold), ends, threshold))
+    if min_words > 1:
+        few = nodes(docs, F.lit(None).cast("array<tinyint>"), threshold, 1, id_col, text_col).where(F.col("n") < min_words).select("h1")
+        lines = lines.join(few, "h1", "left_anti")
+    classes = lines.groupBy("h1", "h2").agg(F.min(F.struct("id", "line_no")).alias("at"), F.count("*").alias("rows"))
+    decided = classes.join(near.distinct().withColumn("near", F.lit(True)), ["h1", "h2"], "left").where("rows > 1 or near").select("h1", "h2", "at", F.coalesce("near", F.lit(False)).alias("near"))
+    decided = stored(decided, "linedecided")
+    lines = _marked(lines.select("id", "text_hash", "line_no", "h1", "h2"), decided, "h1").where("__may").drop("__may")
+    return lines.join(decided, ["h1", "h2"]).where(F.col("near") | (F.struct("id", "line_no") > F.col("at"))).select("id", "text_hash", "line_no")
 
 
 def dedup(docs: DataFrame, threshold: float = THRESHOLD, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text", removed_col: str | None = None) -> DataFrame:
     """docs without later matches among the lines of text_col; removed_col, if named, counts the lines removed."""
-    gone = stored(later_matches(docs, threshold, min_words, id_col, text_col), "linegone")
-    marked = _marked(docs, gone.select(F.col("id").alias(id_col)), id_col)
-    some, rest = marked.where("__may").drop("__may"), marked.where("not __may").drop("__may")
-    gone = gone.groupBy(F.col("id").alias("__id")).agg(F.collect_set("line_hash").alias("__gone"))
+    gone = later_matches(docs, threshold, min_words, id_col, text_col).groupBy(F.col("id").alias("__id"), F.col("text_hash").alias("__hash")).agg(F.collect_set("line_no").alias("__gone"))
+    gone = stored(gone, "linegone")
+    # as rows of a hash table: a header, both keys and the numbers
+    size = gone.agg(F.sum(64 + 4 * F.size("__gone").cast("long"))).first()[0] or 0
+    hashed = docs.withColumn("__text", F.xxhash64(text_col))
+    if size <= SENT:
+        some, rest, gone = hashed, None, F.broadcast(gone)
+    else:
+        marked = _marked(hashed, gone.select(F.col("__id").alias(id_col), F.col("__hash").alias("__text")), id_col, "__text")
+        some, rest = marked.where("__may").drop("__may"), marked.where("not __may").drop("__may")
     split = F.split(F.col(text_col), "\n", -1)
-    kept = F.filter(split, lambda line, i: ~F.array_contains(F.col("__gone"), line_hash(i, line)))
-    joined = some.join(gone, some[id_col].eqNullSafe(gone["__id"]), "left").select("*", F.explode(F.array(F.when(F.col("__gone").isNotNull(), kept))).alias("__kept"))
+    left = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col("__gone"))
+    joined = some.join(gone, some[id_col].eqNullSafe(gone["__id"]) & (some["__text"] == gone["__hash"]), "left")
+    joined = joined.select("*", F.explode(F.array(F.when(F.col("__gone").isNotNull(), F.struct(split.alias("lines"), left.alias("kept"))))).alias("__kept"))
     if removed_col:
-        joined = joined.withColumn("__removed", F.when(F.col("__kept").isNull(), 0).otherwise(F.size(split) - F.size("__kept")).cast("long"))
-        rest = rest.withColumn("__removed", F.lit(0).cast("long"))
-    joined = joined.withColumn(text_col, F.when(F.col("__kept").isNull(), F.col(text_col)).otherwise(F.array_join("__kept", "\n")))
-    out = [*docs.columns, *([F.col("__removed").alias(removed_col)] if removed_col else [])]
-    return joined.select(*out).unionByName(rest.select(*out))
+        joined = joined.withColumn("__removed", F.coalesce(F.size("__kept.lines") - F.size("__kept.kept"), F.lit(0)).cast("long"))
+        joined = joined.withColumn("__removed", F.when(F.col("__kept").isNull(), 0).otherwise(F.col("__removed")))
+        rest = rest if rest is None else rest.withColumn("__removed", F.lit(0).cast("long"))
+    pieces = F.transform("__kept.kept", lambda k: F.get(F.col("__kept.lines"), k))
+    joined = joined.withColumn(text_col, F.when(F.col("__kept").isNull(), F.col(text_col)).otherwise(F.array_join(pieces, "\n")))
+    out = [*(F.col(f"`{c}`") for c in docs.columns), *([F.col("__removed").alias(removed_col)] if removed_col else [])]
+    return joined.select(*out).unionByName(rest.select(*out)) if rest is not None else joined.select(*out)
 
 
 #: DuckDB: the same join by exact word counts, and what is left of every text.
@@ -175,9 +265,9 @@ WITH lines AS (
   FROM documents WHERE text IS NOT NULL),
 sets AS (
   SELECT doc_id, ln, line,
-         list_sort(list_distinct(list_filter(string_split(lower(line), ' '), lambda x: x <> ''))) AS words
+         list_sort(list_distinct(list_filter(string_split(translate(lower(line), chr(9) || chr(11) || chr(12) || chr(13), '    '), ' '), lambda x: x <> ''))) AS words
   FROM lines),
-long_enough AS (SELECT *, len(words) AS n FROM sets WHERE len(words) >= 5),
+long_enough AS (SELECT *, len(words) AS n FROM sets WHERE len(words) >= 1),
 firsts AS (SELECT words, any_value(n) AS n, min({'doc_id': doc_id, 'ln': ln}) AS place FROM long_enough GROUP BY words),
 tokens AS (SELECT place, n, unnest(words) AS w FROM firsts),
 counts AS (SELECT w, count(*) AS c FROM tokens GROUP BY w),

@@ -9,7 +9,7 @@ from parcella.llm import linededup
 
 def brute(rows):
     lines = [(i, k, line, set(re.findall(r"[^\x20\x09-\x0D]+", line.lower()))) for i, t in rows for k, line in enumerate(t.split("\n"))]
-    gone = {(b[0], b[1]) for b in lines for a in lines if (a[0], a[1]) < (b[0], b[1]) and min(len(a[3]), len(b[3])) >= 5 and len(a[3] & b[3]) >= 0.8 * len(a[3] | b[3])}
+    gone = {(b[0], b[1]) for b in lines for a in lines if (a[0], a[1]) < (b[0], b[1]) and min(len(a[3]), len(b[3])) >= 1 and len(a[3] & b[3]) >= 0.8 * len(a[3] | b[3])}
     return {i: "\n".join(x for k, x in enumerate(t.split("\n")) if (i, k) not in gone) for i, t in rows}
 
 
@@ -24,4 +24,4 @@ def test_tabs_part_words_and_a_cr_belongs_to_none(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r["doc_id"]: r["text"] for r in linededup.dedup(df).collect()}
     assert got == brute(rows)
-    assert got[2] == "kept" and got[3] == "kept\r" and got[5] == "other"
+    assert got[2] == "kept" and got[3] == "" and got[5] == ""

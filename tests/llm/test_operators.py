@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import re
 
 import numpy as np
 import pytest
@@ -100,8 +101,8 @@ def test_near_dedup_of_odd_rows(spark):
     assert simhash.near_dedup(docs(spark, [])).count() == 0
 
 
-def brute_lines(rows, threshold=0.8, least=5):
-    lines = [(i, k, line, {w for w in line.lower().split(" ") if w}) for i, t in rows for k, line in enumerate(t.split("\n"))]
+def brute_lines(rows, threshold=0.8, least=1):
+    lines = [(i, k, line, set(re.findall(r"[^\x20\x09-\x0D]+", line.lower()))) for i, t in rows for k, line in enumerate(t.split("\n"))]
     gone = set()
     for a in lines:
         for b in lines:
@@ -112,6 +113,9 @@ def brute_lines(rows, threshold=0.8, least=5):
 
 def test_line_dedup_equals_brute_force(spark, monkeypatch):
     monkeypatch.setattr(linededup, "LEADERS", 2)
+    monkeypatch.setattr(linededup, "GROUP", 4)
+    monkeypatch.setattr(linededup, "LONG", 8)
+    monkeypatch.setattr(linededup, "VERY_LONG", 12)
     rng = random.Random(2)
     vocabulary = [f"t{k}" for k in range(60)]
     base = [[rng.choice(vocabulary) for _ in range(rng.randint(3, 25))] for _ in range(25)]
