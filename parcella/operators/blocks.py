@@ -64,11 +64,54 @@ def in_ground(poses: DataFrame, frame, slopes: bool = False) -> DataFrame:
     return poses.withColumns(out)
 
 
+def _reach(poses: DataFrame, near: float, far: float) -> DataFrame:
+    """Views with the bounds of their frustum and centre in u and v, a little wider than the tests' tolerance."""
+    out = {}
+    for j, a in enumerate("uv"):
+        spread = F.col("tx") * F.abs(F.col(f"g0{j}")) + F.col("ty") * F.abs(F.col(f"g1{j}"))
+        low, high, at = F.col(f"g2{j}") - spread, F.col(f"g2{j}") + spread, F.col(a)
+        slack = 1e-9 * (1 + F.abs(at) + far * (1 + F.col("tx") + F.col("ty")))
+        out |= {f"__low_{a}": at + F.least(F.lit(0.0), near * low, far * low) - slack, f"__high_{a}": at + F.greatest(F.lit(0.0), near * high, far * high) + slack}
+    return poses.withColumns(out)
+
+
+def view_join(poses: DataFrame, blocks: DataFrame, near: float, far: float) -> DataFrame:
+    """Views joined with the blocks whose context they may meet or whose context holds their centre.
+
+    Bounds of views and blocks are spread over the cells of a grid as wide as the larger of a typical block and a typical
+    view, and meet there by an equi-join; a pair is tested in the first cell that both touch.
+    """
+    reach = _reach(poses, near, far)
+    wide = blocks.agg(F.greatest(*(F.percentile_approx(F.col(f"context_{a}1") - F.col(f"context_{a}0"), 0.5) for a in "uv")).alias("w")).first()[0]
+    long = reach.agg(F.greatest(*(F.avg(F.col(f"__high_{a}") - F.col(f"__low_{a}")) for a in "uv")).alias("w")).first()[0]
+    cell = max(float(wide or 0), float(long or 0)) or 1.0
+    at = lambda c: F.floor(c / cell)
+    spread = blocks
+    for a in "uv":
+        reach = reach.withColumn(f"__first_{a}", at(F.col(f"__low_{a}"))).withColumn(f"__cell_{a}", F.explode(F.sequence(F.col(f"__first_{a}"), at(F.col(f"__high_{a}")))))
+        spread = spread.withColumn(f"__from_{a}", at(F.col(f"context_{a}0"))).withColumn(f"__cell_{a}", F.explode(F.sequence(F.col(f"__from_{a}"), at(F.col(f"context_{a}1")))))
+    if spread.count() <= BROADCAST_BLOCKS:
+        spread = F.broadcast(spread)
+    first = (F.col("__cell_u") == F.greatest("__first_u", "__from_u")) & (F.col("__cell_v") == F.greatest("__first_v", "__from_v"))
+    met = reach.join(spread, ["__cell_u", "__cell_v"]).where(first & frustum_or_centre(Box("context"), near, far))
+    return met.drop(*(f"__{n}_{a}" for n in ("low", "high", "first", "from", "cell") for a in "uv"))
+
+
 def assign_by_view(poses: DataFrame, blocks: DataFrame, near: float, far: float) -> DataFrame:
     """(block_id, camera_index): views that may meet a context, and centres within it."""
     if not 0 <= near < far:
         raise ValueError("0 <= near < far must hold")
-    return poses.join(F.broadcast(blocks), frustum_or_centre(Box("context"), near, far)).select("block_id", "camera_index")
+    return view_join(poses, blocks, near, far).select("block_id", "camera_index")
+
+
+def frustum_planes(median_spacing: float, extent: float, multiplier: float) -> tuple[float, float]:
+    """Near and far planes in scene units: the captures' spacing, and a multiple of a core's extent."""
+    if not median_spacing > 0 or median_spacing == float("inf"):
+        raise ValueError("the median spacing must be finite and positive")
+    near, far = median_spacing, multiplier * extent
+    if not near < far:
+        raise ValueError("0 <= near < far must hold")
+    return near, far
 
 
 #: How memberships may be found.
@@ -80,9 +123,29 @@ def membership_counts(indexed: DataFrame, members: DataFrame) -> DataFrame:
     return indexed.select("camera_index").join(members, "camera_index", "left").groupBy("camera_index").agg(F.count("block_id").alias("blocks"))
 
 
-def assignment_summary(indexed: DataFrame, members: DataFrame) -> DataFrame:
-    per = membership_counts(indexed, members)
-    return per.agg(F.avg("blocks").alias("mean_blocks"), F.max("blocks").alias("max_blocks"), F.count_if(F.col("blocks") == 0).alias("orphans"), F.count_if(F.col("blocks") > 1).alias("shared"), F.count("*").alias("cameras"))
+def core_hits(indexed: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Per camera the number of cores, closed on all sides, that hold its centre."""
+    hit = range_join(indexed, blocks, "core").select("camera_index", "block_id")
+    return indexed.select("camera_index").join(hit, "camera_index", "left").groupBy("camera_index").agg(F.count("block_id").alias("cores"))
+
+
+def assignment_summary(indexed: DataFrame, members: DataFrame, blocks: DataFrame) -> DataFrame:
+    """How many blocks a camera is in, and how many cameras no core or several cores hold."""
+    per = membership_counts(indexed, members).join(core_hits(indexed, blocks), "camera_index")
+    return per.agg(
+        F.avg("blocks").alias("mean_blocks"), F.max("blocks").alias("max_blocks"), F.count_if(F.col("cores") == 0).alias("orphans"), F.count_if(F.col("cores") > 1).alias("multi_owned"), F.count("*").alias("cameras")
+    )
+
+
+def checked_assignment(indexed: DataFrame, members: DataFrame, blocks: DataFrame, least_cameras: int = LEAST_CAMERAS) -> DataFrame:
+    """members, if every block has enough cameras and every camera's centre lies in one core."""
+    few = blocks.select("block_id").join(members.groupBy("block_id").agg(F.count("*").alias("n")), "block_id", "left").where(F.coalesce("n", F.lit(0)) < least_cameras).orderBy("block_id").first()
+    if few:
+        raise ValueError(f"block {few['block_id']} has {few['n'] or 0} cameras, under {least_cameras}")
+    odd = core_hits(indexed, blocks).where("cores <> 1").orderBy("camera_index").first()
+    if odd:
+        raise ValueError(f"the centre of camera {odd['camera_index']} lies in {odd['cores']} cores")
+    return members
 
 
 def owners(places: DataFrame, blocks: DataFrame, id_col: str) -> DataFrame:
@@ -132,21 +195,34 @@ def guards(kept_points: DataFrame, blocks: DataFrame, total: DataFrame, least_po
     return per.crossJoin(F.broadcast(total)).select("block_id", "points", share.alias("share"), ((F.col("points") >= least_points) & (share >= least_share)).alias("passes"))
 
 
+#: Multiples of a core's extent that a sweep tries.
+MULTIPLIERS = (0.001, 0.0025, 0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.0)
+
+
 def sweep_far_plane(poses: DataFrame, blocks: DataFrame, near: float, fars: list[float], most_mean: float = 2.0, least_cameras: int = LEAST_CAMERAS) -> DataFrame:
-    """Per far plane: mean blocks of a camera, the smallest block, cameras without a block, and whether the gate passes.
+    """Per far plane: mean and most blocks of a camera, the smallest block, cameras that no core or several hold, and whether the
+    gate passes.
 
-    All candidates are one join: every pair of view and block is tested against each far plane.
+    A view that meets a box with one far plane meets it with any farther one: views are joined with boxes once, by the
+    farthest, and every pair finds the first plane that does.
     """
-    spark = poses.sparkSession
-    tried = blocks.crossJoin(spark.createDataFrame([(float(f),) for f in fars], "far double"))
-    hits = poses.join(F.broadcast(tried), frustum_or_centre(Box("context"), near, F.col("far"))).select("far", "block_id", "camera_index")
-    per_block = hits.groupBy("far", "block_id").agg(F.count("*").alias("cameras"))
-    sizes = tried.select("far", "block_id").join(per_block, ["far", "block_id"], "left").groupBy("far").agg(F.min(F.coalesce("cameras", F.lit(0))).alias("least_cameras"), F.sum(F.coalesce("cameras", F.lit(0))).alias("links"))
-    covered = hits.groupBy("far").agg(F.count_distinct("camera_index").alias("covered"))
-    n = poses.agg(F.count("*").alias("n"))
-    rows = sizes.join(covered, "far", "left").crossJoin(F.broadcast(n))
-    mean, orphans = F.col("links") / F.col("n"), F.col("n") - F.coalesce("covered", F.lit(0))
-    return rows.select("far", mean.alias("mean_blocks"), "least_cameras", orphans.alias("orphans"), ((mean <= most_mean) & (F.col("least_cameras") >= least_cameras) & (orphans == 0)).alias("passes"))
+    spark, order = poses.sparkSession, sorted({float(f) for f in fars})
+    tried = spark.createDataFrame([(f,) for f in order], "far double")
+    # as a column and on the few pairs that meet at all, the plane is tested by one piece of generated code
+    met = view_join(poses, blocks, near, order[-1]).crossJoin(F.broadcast(tried)).where(frustum_or_centre(Box("context"), near, F.col("far")))
+    pairs = met.groupBy("block_id", "camera_index").agg(F.min("far").alias("from"))
+    per_block = pairs.groupBy("block_id", "from").agg(F.count("*").alias("n"))
+    counts = tried.crossJoin(F.broadcast(blocks.select("block_id"))).join(per_block, "block_id", "left")  # planes by blocks
+    sizes = counts.groupBy("far", "block_id").agg(F.coalesce(F.sum(F.when(F.col("from") <= F.col("far"), F.col("n"))), F.lit(0)).alias("cameras"))
+    sizes = sizes.groupBy("far").agg(F.min("cameras").alias("least_cameras"), F.sum("cameras").alias("links"))
+    upto = [F.count_if(F.col("from") <= f).alias(f"m{k}") for k, f in enumerate(order)]
+    most = pairs.groupBy("camera_index").agg(*upto).agg(*(F.max(f"m{k}").alias(f"m{k}") for k in range(len(order))))
+    most = most.select(F.inline(F.array(*(F.struct(F.lit(f).alias("far"), F.coalesce(f"m{k}", F.lit(0)).alias("max_blocks")) for k, f in enumerate(order)))))
+    whole = core_hits(poses, blocks).agg(F.count("*").alias("n"), F.count_if(F.col("cores") == 0).alias("orphans"), F.count_if(F.col("cores") > 1).alias("multi_owned"))
+    rows = sizes.join(most, "far").crossJoin(F.broadcast(whole))
+    mean = F.col("links") / F.col("n")
+    passes = (mean <= most_mean) & (F.col("least_cameras") >= least_cameras) & (F.col("orphans") == 0) & (F.col("multi_owned") == 0)
+    return rows.select("far", mean.alias("mean_blocks"), "max_blocks", "least_cameras", "orphans", "multi_owned", passes.alias("passes"))
 
 
 def wireframe(blocks: DataFrame, prefix: str, samples: int) -> DataFrame:

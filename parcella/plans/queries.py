@@ -201,13 +201,13 @@ def assign_frustum(t: Tables) -> DataFrame:
 def far_plane_sweep(t: Tables) -> DataFrame:
     swept = blocks.sweep_far_plane(views(t), boxes(t), NEAR, [5.0, 10.0, 20.0, 40.0], 2.0, 3)
     best = swept.agg(F.max(F.when(F.col("passes"), F.col("far"))).alias("best_far"))
-    return swept.crossJoin(best).select("far", six(F.col("mean_blocks")).alias("mean_blocks"), "least_cameras", "orphans", "passes", "best_far")
+    return swept.crossJoin(best).select("far", six(F.col("mean_blocks")).alias("mean_blocks"), "max_blocks", "least_cameras", "orphans", "multi_owned", "passes", "best_far")
 
 
 @query
 def assignment_diagnostics(t: Tables) -> DataFrame:
     g = grounded(t)
-    return blocks.assignment_summary(g, blocks.assign_by_centre(g, t.strips)).select(six(F.col("mean_blocks")).alias("mean_blocks"), "max_blocks", "orphans", "shared", "cameras")
+    return blocks.assignment_summary(g, blocks.assign_by_centre(g, t.strips), t.strips).select(six(F.col("mean_blocks")).alias("mean_blocks"), "max_blocks", "orphans", "multi_owned", "cameras")
 
 
 @query
@@ -257,8 +257,8 @@ def merge_union(t: Tables) -> DataFrame:
     from pyspark.sql import Window
 
     kept = blocks.owners(splat_places(t), cubes(t), "splat_id").where("owner >= 0")
-    parts = [(b, kept.where(F.col("owner") == b).select("splat_id", "label")) for b in range(8)]
-    return checks.ordered_union(parts, "splat_id").withColumn("row_no", F.row_number().over(Window.partitionBy("block_id").orderBy("splat_id")) - 1).select("block_id", "row_no", "splat_id", "label")
+    row = F.row_number().over(Window.partitionBy("owner").orderBy("splat_id")) - 1
+    return kept.select(F.col("owner").alias("block_id"), row.alias("row_no"), "splat_id", "label")
 
 
 def members(t: Tables) -> DataFrame:
@@ -301,16 +301,17 @@ def block_camera_models(t: Tables) -> DataFrame:
 
 @query
 def orphan_cameras(t: Tables) -> DataFrame:
-    """Cameras that lie in none of the cores but the last."""
+    """Cameras that lie in no core of blocks a tenth narrower than the strips."""
     g = grounded(t)
-    inside = blocks.range_join(g, t.strips.where("block_id < 3"), "core").select("camera_index").distinct()
+    narrow = F.col("core_u1") - (F.col("core_u1") - F.col("core_u0")) * F.lit(0.1)
+    inside = blocks.range_join(g, t.strips.withColumn("core_u1", narrow), "core").select("camera_index").distinct()
     return checks.orphans(g.select("camera_index", "image_id"), inside)
 
 
 @query
 def image_union_diff(t: Tables) -> DataFrame:
     """Images that observations name but no block keeps, and the other way round."""
-    return checks.set_difference(t.observations.select("image_id"), members(t).where("block_id <> 2").select("image_id"))
+    return checks.set_difference(t.observations.select("image_id"), members(t).select("image_id"))
 
 
 @query
@@ -326,7 +327,7 @@ def wireframe(t: Tables) -> DataFrame:
 
 def training_jobs(t: Tables) -> DataFrame:
     per = t.table("nation").select(F.col("n_nationkey").cast("int").alias("block_id"), (F.col("n_nationkey") * 7 + 32).cast("long").alias("cameras"))
-    return jobs.jobs(per, "/data/scene", ["python", "train.py"])
+    return jobs.jobs(per)
 
 
 @query
@@ -336,10 +337,19 @@ def training_job_list(t: Tables) -> DataFrame:
 
 @query
 def argv_rewrite(t: Tables) -> DataFrame:
-    moved = jobs.rewrite_argv(F.col("argv"), F.concat(F.lit("/mnt/in/"), F.col("job_id")), F.concat(F.lit("/mnt/out/"), F.col("job_id")), ["--quiet"])
+    """Arguments with new paths; those of every third job have centring apart, of every other third within one element."""
+    given = F.when(F.col("block_id") % 3 == 1, F.array(F.lit("--centralize"), F.lit("on"), F.lit("--eval"))).when(F.col("block_id") % 3 == 2, F.array(F.lit("--centralize=auto"))).otherwise(F.array().cast("array<string>"))
+    moved = jobs.rewrite_argv(F.concat("argv", given), F.concat(F.lit("/mnt/in/"), F.col("job_id")), F.concat(F.lit("/mnt/out/"), F.col("job_id")), "crop.py")
     return training_jobs(t).select("job_id", F.array_join(moved, " ").alias("argv"))
 
 
+@query
+def launch_commands(t: Tables) -> DataFrame:
+    """Commands that start the jobs in containers."""
+    made = jobs.launch_commands(training_jobs(t), "/data/city/scene", "/data/run", "trainer", image="img:1", mount="/data", callback="/run/crop.py")
+    return made.select("job_id", "block_id", F.array_join("command", " ").alias("command"))
+
+
 def queue_events(t: Tables) -> DataFrame:
     """Events as a queue's log: types become states in the order of their names."""
     kinds = F.array(*[F.lit(k) for k in ("pending", "running", "succeeded", "failed", "pending")])
@@ -356,8 +366,12 @@ def latest_state(t: Tables) -> DataFrame:
 
 @query
 def job_status(t: Tables) -> DataFrame:
-    every = t.table("customer").select(F.col("c_custkey").alias("job_id"))
-    return jobs.job_status(every, jobs.latest_states(queue_events(t)).select("job_id", "state")).select("job_id", "state")
+    """Every customer and every user of an event is a job; what ended has an exit code."""
+    events = queue_events(t)
+    every = t.table("customer").select(F.col("c_custkey").alias("job_id"), F.col("c_nationkey").alias("block_id")).join(events.select("job_id").distinct(), "job_id", "full")
+    code = F.when(F.col("state") == "succeeded", 0).when(F.col("state") == "failed", 1)
+    states = jobs.latest_states(events).select("job_id", "state", code.alias("exit_code"))
+    return jobs.job_status(every, states).select("job_id", "block_id", "state", "exit_code")
 
 
 @query
@@ -375,8 +389,9 @@ def queue_recovery(t: Tables) -> DataFrame:
 
 @query
 def merge_status(t: Tables) -> DataFrame:
-    latest = jobs.latest_states(queue_events(t)).select("job_id", "state")
-    return jobs.merge_status(latest, latest.where("state = 'succeeded'").select("job_id"))
+    """Jobs that succeeded have a crop of their block."""
+    latest = jobs.latest_states(queue_events(t)).select(F.col("job_id").alias("block_id"), "state")
+    return jobs.merge_status(latest.select("block_id"), latest.where("state = 'succeeded'").select("block_id"))
 
 
 def hashed(t: Tables) -> DataFrame:
@@ -393,7 +408,7 @@ def source_hash_check(t: Tables) -> DataFrame:
 
 @query
 def tree_diff(t: Tables) -> DataFrame:
-    left = hashed(t).where("cast(path as bigint) % 10 <> 0")
+    left = hashed(t).unionByName(t.table("benchmark").select(F.concat(F.lit("b"), F.col("item_id").cast("string")).alias("path"), F.sha2(F.col("text").cast("binary"), 256).alias("digest")))
     right = hashed(t).withColumn("digest", F.when(F.col("path").cast("long") % 15 == 1, F.sha2(F.col("path").cast("binary"), 256)).otherwise(F.col("digest")))
     return checks.tree_difference(left, right).select("path", "digest", "other")
 
@@ -418,8 +433,20 @@ def frame_fit(t: Tables) -> DataFrame:
 
 @query
 def sequential_segments(t: Tables) -> DataFrame:
+    """Groups of cameras in order, of 100 at most and within 45 units."""
     g = grounded(t).select("camera_index", "u", "v")
-    return partition.sequential(g, 100, 1e6).groupBy("group_id").agg(F.count("*").alias("cameras"), F.min("camera_index").alias("first_camera"))
+    return partition.sequential(g, 100, 45.0)[0].groupBy("group_id").agg(F.count("*").alias("cameras"), F.min("camera_index").alias("first_camera"))
+
+
+@query
+def partition_trajectory(t: Tables) -> DataFrame:
+    """Blocks of the whole composition in the fixed frame: leaves, de-overlapped, with contexts and their cameras' number."""
+    path = frames.path_lengths(t.images).first()
+    n = t.images.count()
+    d = frames.Diagnostics("orientation", [0.0, 0.0, 1.0], 0.0, [0.0, 0.0, 1.0], 1.0, False, None, 1.0, 1.0, path["arc_length"], path["median_spacing"], [0.0] * 3, n)
+    config = {"core_extent": 1e9, "max_cameras": max(3, -(-n // 8)), "lateral_margin": 0.5, "context_share": 0.1, "pad_down": 1.0, "pad_up": 6.0, "merge_slack": 1.0}
+    made = partition.partition_trajectory(t.images, FRAME, d, config)
+    return made.blocks.select("block_id", "provenance", "cameras", "first_camera", "last_camera", *(six(F.col(f"context_{a}{k}"), 4).alias(f"{a}{k}") for a in "uvh" for k in (0, 1)))
 
 
 def _local(t: Tables, name: str) -> str:

@@ -183,12 +183,15 @@ SELECT block_id, round(u0 - 0.5::DOUBLE, 6) + 0.0 AS u0, round(u1 + 0.5::DOUBLE,
 hits AS (SELECT far, block_id, camera_index FROM views, halves, fars WHERE {frustum('far', 'views')}),
 sizes AS (SELECT f.far, b.block_id, count(h.camera_index) AS cameras FROM fars f CROSS JOIN boxes b LEFT JOIN hits h ON h.far = f.far AND h.block_id = b.block_id GROUP BY ALL),
 s AS (SELECT far, min(cameras) AS least_cameras, sum(cameras)::BIGINT AS links FROM sizes GROUP BY far),
-c AS (SELECT far, count(DISTINCT camera_index) AS covered FROM hits GROUP BY far), n AS (SELECT count(*) AS n FROM images),
-r AS (SELECT far, links / n AS mean, least_cameras, n - coalesce(covered, 0) AS orphans FROM s LEFT JOIN c USING (far), n),
-g AS (SELECT *, mean <= 2.0 AND least_cameras >= 3 AND orphans = 0 AS passes FROM r)
-SELECT far, round(mean, 6) AS mean_blocks, least_cameras, orphans, passes, max(far) FILTER (passes) OVER () AS best_far FROM g""",
-    "assignment_diagnostics": f"""WITH {STRIPS}, per AS (SELECT g.camera_index, count(m.block_id) AS blocks FROM ground g LEFT JOIN members m USING (camera_index) GROUP BY ALL)
-SELECT round(avg(blocks), 6) AS mean_blocks, max(blocks) AS max_blocks, count(*) FILTER (blocks = 0) AS orphans, count(*) FILTER (blocks > 1) AS shared, count(*) AS cameras FROM per""",
+per AS (SELECT far, camera_index, count(*) AS k FROM hits GROUP BY ALL), most AS (SELECT far, max(k) AS max_blocks FROM per GROUP BY far),
+inside AS (SELECT camera_index, count(b.block_id) AS cores FROM views LEFT JOIN small b ON u BETWEEN u0 AND u1 AND v BETWEEN v0 AND v1 AND h BETWEEN h0 AND h1 GROUP BY camera_index),
+c AS (SELECT count(*) AS n, count(*) FILTER (cores = 0) AS orphans, count(*) FILTER (cores > 1) AS multi_owned FROM inside),
+g AS (SELECT far, links / n AS mean, coalesce(max_blocks, 0) AS max_blocks, least_cameras, orphans, multi_owned,
+      links / n <= 2.0 AND least_cameras >= 3 AND orphans = 0 AND multi_owned = 0 AS passes FROM s LEFT JOIN most USING (far), c)
+SELECT far, round(mean, 6) AS mean_blocks, max_blocks, least_cameras, orphans, multi_owned, passes, max(far) FILTER (passes) OVER () AS best_far FROM g""",
+    "assignment_diagnostics": f"""WITH {STRIPS}, per AS (SELECT g.camera_index, count(m.block_id) AS blocks FROM ground g LEFT JOIN members m USING (camera_index) GROUP BY ALL),
+inside AS (SELECT camera_index, count(c.block_id) AS cores FROM ground LEFT JOIN cores c ON u BETWEEN u0 AND u1 AND v BETWEEN v0 AND v1 AND h BETWEEN h0 AND h1 GROUP BY camera_index)
+SELECT round(avg(blocks), 6) AS mean_blocks, max(blocks) AS max_blocks, count(*) FILTER (cores = 0) AS orphans, count(*) FILTER (cores > 1) AS multi_owned, count(*) AS cameras FROM per JOIN inside USING (camera_index)""",
     "camera_blocks": f"""WITH {STRIPS} SELECT g.camera_index, coalesce(string_agg(m.block_id::VARCHAR, ';' ORDER BY m.block_id), '') AS assigned_block_ids, count(m.block_id) AS blocks_per_camera
 FROM ground g LEFT JOIN members m USING (camera_index) GROUP BY g.camera_index""",
     "block_summary": f"""WITH {STRIPS} SELECT c.block_id, count(m.camera_index) AS cameras, min(m.camera_index) AS first_camera, max(m.camera_index) AS last_camera,
@@ -208,8 +211,8 @@ SELECT block_id, cameras, coalesce(points, 0) AS points, coalesce(observations,
 SELECT block_id, points, round(points / n, 6) AS share, points >= 100 AND points / n >= 0.05::DOUBLE AS passes FROM per, n""",
     "block_camera_models": f"""WITH {STRIPS}, {CAMERAS}, used AS (SELECT DISTINCT block_id, camera_id FROM members) SELECT block_id, model_id, count(*) AS cameras FROM used JOIN cameras USING (camera_id) GROUP BY ALL""",
     "orphan_cameras": f"""WITH {STRIPS} SELECT camera_index, image_id FROM ground g WHERE NOT EXISTS (
-  SELECT 1 FROM cores WHERE block_id < 3 AND u BETWEEN u0 AND u1 AND v BETWEEN v0 AND v1 AND h BETWEEN h0 AND h1)""",
-    "image_union_diff": f"""WITH {STRIPS}, a AS (SELECT DISTINCT l_orderkey AS image_id FROM lineitem), b AS (SELECT DISTINCT image_id FROM members WHERE block_id <> 2)
+  SELECT 1 FROM cores WHERE u BETWEEN u0 AND u1 - (u1 - u0) * 0.1::DOUBLE AND v BETWEEN v0 AND v1 AND h BETWEEN h0 AND h1)""",
+    "image_union_diff": f"""WITH {STRIPS}, a AS (SELECT DISTINCT l_orderkey AS image_id FROM lineitem), b AS (SELECT DISTINCT image_id FROM members)
 SELECT image_id, 'left' AS side FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT image_id, 'right' FROM (SELECT * FROM b EXCEPT SELECT * FROM a)""",
     "affine_transform": """WITH p AS (SELECT p_partkey AS point_id, p_partkey * 0.075::DOUBLE AS x, p_size::DOUBLE AS y, p_size * 0.01::DOUBLE AS z FROM part),
 w AS (SELECT *, x * 0.001::DOUBLE + 1 AS w FROM p)
@@ -219,24 +222,41 @@ edges AS (SELECT (row_number() OVER (ORDER BY a, b) - 1)::INT AS edge, a, b FROM
 SELECT block_id, edge, sample, """
     + ", ".join(f"round(CASE WHEN a >> {k} & 1 = 1 THEN {x}1 ELSE {x}0 END * (1 - t) + CASE WHEN b >> {k} & 1 = 1 THEN {x}1 ELSE {x}0 END * t, 6) + 0.0 AS {x}" for k, x in enumerate("uvh"))
     + " FROM contexts, edges, samples",
-    "training_job_list": f"""WITH {JOBS} SELECT job_id, block_id, camera_count, camera_count * 3000 AS max_cap, '/data/scene/blocks/' || job_id AS data_path, '/data/scene/results/' || job_id AS output_path,
-  'python train.py --data-path /data/scene/blocks/' || job_id || ' --output-path /data/scene/results/' || job_id || ' --max-cap ' || camera_count * 3000 || ' --max-width 3840' AS argv FROM jobs""",
-    "argv_rewrite": f"""WITH {JOBS} SELECT job_id, 'python train.py --data-path /mnt/in/' || job_id || ' --output-path /mnt/out/' || job_id || ' --max-cap ' || camera_count * 3000 || ' --max-width 3840 --centralize=false --quiet' AS argv FROM jobs""",
+    "training_job_list": f"""WITH {JOBS} SELECT job_id, block_id, camera_count, camera_count * 3000 AS max_cap, 'blocks/' || job_id AS data_path, 'outputs/' || job_id AS output_path,
+  '--headless --train --data-path blocks/' || job_id || ' --output-path outputs/' || job_id || ' --strategy mrnf --max-cap ' || camera_count * 3000 || ' --max-width 3840' AS argv FROM jobs""",
+    "argv_rewrite": f"""WITH {JOBS} SELECT job_id, '--headless --train --data-path /mnt/in/' || job_id || ' --output-path /mnt/out/' || job_id || ' --strategy mrnf --max-cap ' || camera_count * 3000 || ' --max-width 3840 '
+  || CASE WHEN block_id % 3 = 1 THEN '--centralize off --eval' ELSE '--centralize=off' END || ' --python-script crop.py' AS argv FROM jobs""",
+    "launch_commands": f"""WITH {JOBS} SELECT job_id, block_id, 'docker run --rm --gpus all -v /data:/input:ro -v /data/run:/run:rw -e BLOCK_IMAGES=/input/city/scene/blocks/' || job_id
+  || '/images -e TRAINER=trainer -e CUDA_VISIBLE_DEVICES -e DATASET_ROOT=/input/city/scene -e RUN_DIR=/run -e BLOCK_ID=' || block_id
+  || ' --entrypoint /bin/sh img:1 -c test -e "$BLOCK_IMAGES" || exit 64; exec "$TRAINER" "$@" sh --headless --train --data-path /input/city/scene/blocks/' || job_id
+  || ' --output-path /run/outputs/' || job_id || ' --strategy mrnf --max-cap ' || camera_count * 3000 || ' --max-width 3840 --centralize=off --python-script /run/crop.py' AS command FROM jobs""",
     "latest_state": f"WITH {QUEUE} SELECT job_id, event_id, state FROM latest",
-    "job_status": f"WITH {QUEUE} SELECT c_custkey AS job_id, coalesce(state, 'not started') AS state FROM customer LEFT JOIN latest ON job_id = c_custkey",
+    "job_status": f"""WITH {QUEUE}, every AS (SELECT coalesce(c_custkey, job_id) AS job_id, c_nationkey AS block_id FROM customer FULL JOIN (SELECT DISTINCT job_id FROM queue) ON job_id = c_custkey)
+SELECT e.job_id, block_id, coalesce(state, 'not started') AS state, CASE state WHEN 'succeeded' THEN 0 WHEN 'failed' THEN 1 END AS exit_code FROM every e LEFT JOIN latest l ON l.job_id = e.job_id""",
     "queue_counts": f"WITH {QUEUE} SELECT s.state, count(l.job_id) AS jobs FROM (VALUES ('pending'), ('running'), ('succeeded'), ('failed')) s(state) LEFT JOIN latest l ON l.state = s.state GROUP BY s.state",
     "queue_recovery": f"""WITH {QUEUE}, r AS (SELECT CASE WHEN state = 'failed' OR (state = 'running' AND job_id % 6 <> 0) THEN 'pending' ELSE state END AS state FROM latest)
 SELECT state, count(*) AS jobs FROM r GROUP BY state""",
-    "merge_status": f"""WITH {QUEUE}, c AS (SELECT count(*) AS jobs, count(*) FILTER (state = 'succeeded') AS succeeded, count(*) FILTER (state = 'succeeded') AS crops FROM latest)
-SELECT jobs, succeeded, crops, CASE WHEN jobs > 0 AND crops = jobs THEN 'awaiting merge' WHEN succeeded > 0 THEN 'awaiting crops' ELSE 'not started' END AS status FROM c""",
+    "merge_status": f"""WITH {QUEUE}, c AS (SELECT count(*) AS blocks, count(*) FILTER (state = 'succeeded') AS crops FROM latest)
+SELECT CASE WHEN crops > 0 THEN 'awaiting merge' ELSE 'awaiting crops' END AS status, crops, blocks FROM c""",
     "source_hash_check": """WITH n AS (SELECT doc_id AS field, sha256(text) AS digest FROM documents),
 r AS (SELECT field + 1 AS field, digest FROM n UNION ALL SELECT field, digest FROM n WHERE field = 0)
-SELECT r.field, r.digest AS recorded, n.digest AS current FROM r LEFT JOIN n USING (field) WHERE r.field % 50 < 25 AND r.digest IS DISTINCT FROM n.digest""",
-    "tree_diff": """WITH l AS (SELECT doc_id::VARCHAR AS path, sha256(text) AS digest FROM documents WHERE doc_id % 10 <> 0),
+SELECT r.field, r.digest AS recorded, n.digest AS current FROM r LEFT JOIN n USING (field) WHERE r.digest IS DISTINCT FROM n.digest""",
+    "tree_diff": """WITH l AS (SELECT doc_id::VARCHAR AS path, sha256(text) AS digest FROM documents UNION ALL SELECT 'b' || item_id, sha256(text) FROM benchmark),
 r AS (SELECT doc_id::VARCHAR AS path, CASE WHEN doc_id % 15 = 1 THEN sha256(doc_id::VARCHAR) ELSE sha256(text) END AS other FROM documents)
 SELECT path, digest, other FROM l FULL JOIN r USING (path) WHERE digest IS DISTINCT FROM other""",
     "path_safety": """SELECT p_partkey, p_partkey % 5 IN (0, 4) AS safe_path, p_partkey % 5 = 4 AS safe_name FROM part""",
     "duplicate_keys": "SELECT l_partkey AS point_id, l_orderkey AS image_id, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1",
+    "sequential_segments": f"""WITH RECURSIVE {GROUND},
+near AS MATERIALIZED (
+  SELECT a.camera_index AS i, b.camera_index AS j, max(b.u) OVER w - min(b.u) OVER w AS su, max(b.v) OVER w - min(b.v) OVER w AS sv
+  FROM ground a CROSS JOIN range(101) o(k) JOIN ground b ON b.camera_index = a.camera_index + o.k
+  WINDOW w AS (PARTITION BY a.camera_index ORDER BY b.camera_index)),
+ends AS MATERIALIZED (SELECT i, min(j) FILTER (j - i >= 100 OR greatest(su, sv) > 45) AS nxt FROM near GROUP BY i),
+seg(group_id, first) AS (SELECT 0::BIGINT, 0::BIGINT UNION ALL SELECT group_id + 1, nxt FROM seg JOIN ends ON i = first WHERE nxt IS NOT NULL),
+sized AS (SELECT group_id, first, coalesce(lead(first) OVER (ORDER BY group_id), (SELECT count(*) FROM ground)) - first AS n, lead(first) OVER (ORDER BY group_id) IS NULL AS last FROM seg),
+spans AS (SELECT max(u) - min(u) AS su, max(v) - min(v) AS sv, count(*) AS n FROM ground, (SELECT max(first) AS f FROM sized WHERE NOT last) WHERE camera_index >= f),
+joins AS (SELECT (SELECT count(*) > 1 FROM sized) AND (SELECT n < 25 FROM sized WHERE last) AND n <= 100 AND greatest(su, sv) <= 45 AS yes FROM spans)
+SELECT s.group_id - CASE WHEN s.last AND j.yes THEN 1 ELSE 0 END AS group_id, sum(n)::BIGINT AS cameras, min(first) AS first_camera FROM sized s, joins j GROUP BY ALL""",
     "sparse_roundtrip": """SELECT p_partkey AS point3d_id, round(p_partkey * 0.075::DOUBLE, 6) AS x, round(p_size::DOUBLE, 6) AS y, round(p_size * 0.01::DOUBLE, 6) AS z, count(*) AS entries, sum(l_orderkey)::BIGINT AS image_sum
 FROM part JOIN lineitem ON l_partkey = p_partkey GROUP BY ALL""",
     "ply_roundtrip": """SELECT row_number() OVER (ORDER BY vec_id) - 1 AS row_no, vec_id::INT AS splat_id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, embedding[3]::DOUBLE AS z, label FROM embeddings""",

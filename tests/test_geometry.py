@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -20,22 +21,44 @@ def box(spark, *rows):
     return spark.createDataFrame([(n, *map(float, low), *map(float, high), *map(float, low), *map(float, high)) for n, (low, high) in enumerate(rows)], "block_id int, " + names)
 
 
-CASES = {
-    "ahead": ((-0.5, -0.5, 5), (0.5, 0.5, 6), True),
-    "behind": ((-0.5, -0.5, -6), (0.5, 0.5, -5), False),
-    "beyond_far": ((-0.5, -0.5, 11), (0.5, 0.5, 12), False),
-    "inside_near": ((-0.1, -0.1, 0.1), (0.1, 0.1, 0.5), False),
-    "straddles_near": ((-0.1, -0.1, 0.5), (0.1, 0.1, 1.5), True),
-    "inside_view": ((5, -0.2, 5), (5.2, 0.2, 5.5), True),
-    "outside_view": ((6, -0.2, 5), (6.2, 0.2, 5.5), False),
-}
-
-
-@pytest.mark.parametrize("name", CASES)
-def test_view_meets_box(spark, name):
-    low, high, want = CASES[name]
-    found = blocks.assign_by_view(pose(spark), box(spark, (low, high)), 1.0, 10.0).count()
-    assert bool(found) == want
+def corner_axes(rows, f, near, far):
+    """Corners of a widened view from the origin, and eight directions that may part it from a box."""
+    t = np.tan(1.05 * np.arctan(100 / f))
+    corners = np.array([[sx * t * d, sy * t * d, d] for d in (near, far) for sx in (-1, 1) for sy in (-1, 1)]) @ rows
+    right, down, forward = rows
+    return corners, [*np.eye(3), forward, right + t * forward, right - t * forward, down + t * forward, down - t * forward]
+
+
+def test_views_meet_boxes_as_their_corners_say(spark):
+    rng = np.random.default_rng(11)
+    met = 0
+    for _ in range(6):
+        q, r = np.linalg.qr(rng.standard_normal((3, 3)))
+        rows = q * np.sign(np.diag(r))
+        rows[0] *= np.sign(np.linalg.det(rows))
+        f, near, far = rng.uniform(60, 300), rng.uniform(0.2, 2), rng.uniform(4, 15)
+        low = rng.uniform(-12, 10, (60, 3))
+        high = low + rng.uniform(0.1, 4, (60, 3))
+        found = {r["block_id"] for r in blocks.assign_by_view(pose(spark, f, rows), box(spark, *zip(low.tolist(), high.tolist())), near, far).collect()}
+        corners, axes = corner_axes(rows, f, near, far)
+        for n, (lo, hi) in enumerate(zip(low, high)):
+            ends = np.array([[(lo, hi)[bits >> k & 1][k] for k in range(3)] for bits in range(8)])
+            apart = any((corners @ a).max() < (ends @ a).min() or (corners @ a).min() > (ends @ a).max() for a in axes)
+            assert (n in found) == (not apart or bool((lo <= 0).all() and (hi >= 0).all()))
+        met += len(found)
+    assert 20 < met < 300
+
+
+def test_the_sweep_finds_each_planes_own_pairs(spark):
+    rng = np.random.default_rng(4)
+    low = rng.uniform(-6, 6, (40, 3))
+    some = box(spark, *zip(low.tolist(), (low + 1).tolist()))
+    one = pose(spark, 90.0)
+    swept = {r["far"]: r for r in blocks.sweep_far_plane(one, some, 0.5, [2.0, 8.0, 4.0], 100.0, 0).collect()}
+    for far, r in swept.items():
+        assert r["max_blocks"] == blocks.assign_by_view(one, some, 0.5, far).count() == r["mean_blocks"]
+    inside = sum(bool((x <= 0).all() and (x + 1 >= 0).all()) for x in low)
+    assert len(swept) == 3 and all((r["orphans"], r["multi_owned"]) == (int(inside == 0), int(inside > 1)) for r in swept.values())
 
 
 def test_view_never_loses_a_centre(spark):
@@ -93,14 +116,27 @@ def test_frame_goes_there_and_back(spark):
     assert [round(x, 9) for x in back] == [4.0, 5.0, 6.0]
 
 
-def test_point_filter_cases(spark):
-    b = box(spark, ((-1, -1, -1), (1, 1, 1)))
-    points = spark.createDataFrame([(1, 0.0, 0.0, 0.0), (2, 0.0, 0.0, 0.0), (3, 10.0, 0.0, 0.0), (4, 0.0, 0.0, 0.0), (5, 0.0, 0.0, 0.0)], "point_id long, u double, v double, h double")
-    seen = [(1, 11, 0), (1, 31, 0), (2, 99, 0), (2, 98, 0), (3, 11, 0), (3, 31, 0), (4, 11, 0), (5, 11, 0), (5, 11, 1)]
+def test_kept_points_equal_a_loop_over_random_tracks(spark):
+    import random
+
+    rng = random.Random(9)
+    places = {p: tuple(rng.uniform(-2, 2) for _ in range(3)) for p in range(40)}
+    seen = [(rng.randrange(40), rng.randrange(12), k) for k in range(160)] + [(0, 1, 900), (0, 1, 901)]
+    places[0] = (0.1, 0.2, 0.3)
+    own = {0: {1, 2, 3, 4}, 1: {4, 5, 6, 7, 8}}
+    b = box(spark, ((-1, -1, -1), (1.5, 1, 1)), ((0, -2, -2), (2, 2, 2)))
+    limits = {0: ((-1, -1, -1), (1.5, 1, 1)), 1: ((0, -2, -2), (2, 2, 2))}
+    points = spark.createDataFrame([(p, *x) for p, x in places.items()], "point_id long, u double, v double, h double")
     observations = spark.createDataFrame(seen, "point_id long, image_id long, point2d int")
-    members = spark.createDataFrame([(0, 11), (0, 31)], "block_id int, image_id long")
-    kept = blocks.block_points(blocks.kept_observations(points, observations, b, members))
-    assert sorted(r["point_id"] for r in kept.collect()) == [1, 5]  # entries count, not distinct images
+    members = spark.createDataFrame([(n, i) for n, ids in own.items() for i in ids], "block_id int, image_id long")
+    got = {(r["block_id"], r["point_id"]): r["entries"] for r in blocks.block_points(blocks.kept_observations(points, observations, b, members)).collect()}
+    want = {}
+    for n, (lo, hi) in limits.items():
+        for p, x in places.items():
+            entries = sum(q == p and i in own[n] for q, i, _ in seen)  # entries count, not distinct images
+            if entries >= 2 and all(a <= y <= z for a, y, z in zip(lo, x, hi)):
+                want[n, p] = entries
+    assert got == want and (0, 0) in got and len(got) > 4
 
 
 def test_twelve_edges():

@@ -11,7 +11,7 @@ def test_query_equals_its_sql(same, name):
 
 
 def test_all_queries_but_two_have_sql():
-    assert set(QUERIES) - set(ORACLE_SQL) == {"frame_fit", "sequential_segments"}
+    assert set(QUERIES) - set(ORACLE_SQL) == {"frame_fit", "partition_trajectory"}
 
 
 def test_entry_and_registry_without_the_llm_subpackage(monkeypatch):

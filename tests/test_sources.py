@@ -80,8 +80,55 @@ def test_queue_rules(spark):
 
 
 def test_argv_rewrite(spark):
-    df = spark.createDataFrame([(["t", "--data-path", "a", "--centralize", "--output-path", "b"],), (["t", "--data-path", "a", "--output-path", "b"],)], "argv array<string>")
-    got = [r[0] for r in df.select(jobs.rewrite_argv(F.col("argv"), F.lit("x"), F.lit("y"), ["-q"])).collect()]
-    assert got == [["t", "--data-path", "x", "--centralize=false", "--output-path", "y", "-q"], ["t", "--data-path", "x", "--output-path", "y", "--centralize=false", "-q"]]
-    with pytest.raises(Exception, match="no value"):
-        spark.createDataFrame([(["t", "--data-path"],)], "argv array<string>").select(jobs.rewrite_argv(F.col("argv"), F.lit("x"), F.lit("y"))).collect()
+    start = ["--data-path", "a", "--output-path", "b"]
+    cases = [
+        (start, ["--centralize=off"]),
+        ([*start, "--centralize", "on", "--more"], ["--centralize", "off", "--more"]),
+        ([*start, "--centralize=auto", "--centralize", "on"], ["--centralize=off", "--centralize", "on"]),
+    ]
+    df = spark.createDataFrame([(n, argv) for n, (argv, _) in enumerate(cases)], "n int, argv array<string>")
+    got = [r[0] for r in df.orderBy("n").select(jobs.rewrite_argv(F.col("argv"), F.lit("x"), F.lit("y"), "c.py")).collect()]
+    assert got == [["--data-path", "x", "--output-path", "y", *rest, "--python-script", "c.py"] for _, rest in cases]
+    for bad, why in ((["--data-path"], "data-path"), (["--data-path", "a"], "output-path"), ([*start, "--centralize"], "centralize")):
+        with pytest.raises(Exception, match=f"no value after --{why}"):
+            spark.createDataFrame([(bad,)], "argv array<string>").select(jobs.rewrite_argv(F.col("argv"), F.lit("x"), F.lit("y"))).collect()
+
+
+def test_job_settings_and_devices(spark):
+    b = spark.createDataFrame([(4, 40, "far/block")], "block_id int, cameras long, directory string")
+    r = jobs.jobs(b, "mcmc", 10, 0).first()
+    assert r["max_cap"] == 400 and r["data_path"] == "blocks/far/block" and r["output_path"] == "outputs/block_004" and r["argv"][-1] == "0"
+    for wrong in ({"strategy": "x"}, {"cap_per_camera": 0}, {"cap_per_camera": True}, {"width": -1}):
+        with pytest.raises(ValueError):
+            jobs.jobs(b, **wrong)
+    assert jobs.device_ids(" 0, 2 ,") == ["0", "2"]
+    for wrong in ("", "1,1"):
+        with pytest.raises(ValueError):
+            jobs.device_ids(wrong)
+    native = jobs.launch_commands(jobs.jobs(b), "/d", "/r", "train").first()["command"]
+    assert native[:5] == ["train", "--headless", "--train", "--data-path", "/d/blocks/far/block"] and native[6] == "/r/outputs/block_004"
+    with pytest.raises(ValueError, match="outside"):
+        jobs.launch_commands(jobs.jobs(b), "/d", "/r", "train", image="i", mount="/elsewhere")
+
+
+def test_mount_root_follows_links(tmp_path):
+    (tmp_path / "data/blocks/b0").mkdir(parents=True)
+    (tmp_path / "pictures").mkdir()
+    with pytest.raises(ValueError, match="no folder"):
+        jobs.mount_root(str(tmp_path / "data"), ["blocks/b0"])
+    (tmp_path / "data/blocks/b0/images").symlink_to(tmp_path / "pictures")
+    assert jobs.mount_root(str(tmp_path / "data"), ["blocks/b0"]) == str(tmp_path.resolve())
+
+
+def test_merge_status_and_queues_that_are_taken_up_again(spark):
+    two = spark.createDataFrame([(0,), (1,)], "block_id int")
+    none = two.where("false")
+    said = lambda *a, **k: tuple(jobs.merge_status(two, *a, **k).first())
+    assert said(none) == ("awaiting crops", 0, 2) and said(two.limit(1)) == ("awaiting merge", 1, 2) and said(two, merged=True)[0] == "merged" and said(none, started=False) == ("not started", 0, 0)
+    every = spark.createDataFrame([("a",), ("b",)], "job_id string")
+    states = lambda *rows: spark.createDataFrame(rows, "job_id string, state string")
+    assert {tuple(r) for r in jobs.checked_queue(every, states(("a", "failed"))).collect()} == {("a", "failed"), ("b", "pending")}
+    with pytest.raises(Exception, match="several"):
+        jobs.checked_queue(every, states(("a", "failed"), ("a", "pending"))).collect()
+    with pytest.raises(Exception, match="unknown job"):
+        jobs.job_status(every, states(("z", "failed"))).collect()
