@@ -10,8 +10,9 @@ Only histogram rows (at most 4096 a source and level) and per-source rows are sh
 with a third of all rows costs no more than any other. Native DataFrame operations throughout.
 
 Cases: null and empty texts have size 0 and take part with no words. A null source is a source of its own, ordered last.
-Repeated rows and rows with one id share their hash, hence their decision. A source without words has target 0. An empty
-table gives an empty result. Results depend on ids, sources and sizes only, so reruns agree.
+Rows that share an id, or have none, are told apart by their
+texts; rows equal in both share their hash, hence their decision (a source of nothing but one text is taken whole or not). A source without words has target 0. An empty
+table gives an empty result. Results depend on ids, sources and texts only, so reruns agree.
 """
 
 from __future__ import annotations
@@ -27,8 +28,10 @@ WEIGHTS = (5, 2, 1)
 MOST = 3
 
 
-def hash48(id_col: str) -> Column:
-    return F.conv(F.substring(F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("null")).cast("binary")), 1, BITS // 4), 16, 10).cast("long")
+def hash48(id_col: str, text_col: str) -> Column:
+    """Of id and text: rows that share an id, or have none, are told apart by their texts."""
+    named = F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")))
+    return F.conv(F.substring(F.md5(named.cast("binary")), 1, BITS // 4), 16, 10).cast("long")
 
 
 def targets(sums: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
@@ -70,13 +73,14 @@ def thresholds(sized: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """(id, source, size, hash) of every row of docs, written once, as several passes follow."""
-    return stored(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), hash48(id_col).alias("hash")), "mixing")
+    return stored(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), hash48(id_col, text_col).alias("hash")), "mixing")
 
 
 def plan(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
     """A row per source, written, so that a join with it knows its size; its columns are marked, as they meet any others."""
     goals = targets(sized.groupBy("source").agg(F.sum("size").alias("words")), weights, most)
-    below = thresholds(sized, goals).select(F.col("source").alias("b"), "below")
+    # a source that whole copies serve needs no threshold, which texts without words could lie below
+    below = thresholds(sized, goals.where("rest > 0")).select(F.col("source").alias("b"), "below")
     rows = goals.join(below, goals["source"].eqNullSafe(below["b"]), "left")
     return stored(rows.select(F.col("source").alias("__source"), F.col("words").alias("__words"), F.col("target").alias("__target"), F.col("copies").alias("__whole"), F.col("below").alias("__below")), "mixplan")
 
@@ -98,7 +102,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, i
 def mixture(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The rows of docs, each as often as it is taken. Texts stay where they are."""
     sources = plan(measured(docs, id_col, text_col, source_col), weights, most)
-    taken = copies(docs, sources, hash48(id_col), source_col).where("__copies > 0")
+    taken = copies(docs, sources, hash48(id_col, text_col), source_col).where("__copies > 0")
     return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select(*docs.columns)
 
 
@@ -106,7 +110,7 @@ def mixture(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOS
 SQL = r"""
 WITH sized AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null')), 1, 12))::BIGINT AS h
+         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null') || ':' || md5(coalesce(text, ''))), 1, 12))::BIGINT AS h
   FROM documents),
 sums AS (SELECT source, sum(size)::BIGINT AS words FROM sized GROUP BY source),
 ranked AS (SELECT *, [5.0::DOUBLE, 2.0::DOUBLE, 1.0::DOUBLE][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS weight FROM sums),
@@ -128,7 +132,7 @@ edge AS (
   SELECT u.source, min(u.h) AS h FROM upto u JOIN rests r ON u.source IS NOT DISTINCT FROM r.source WHERE u.upto > r.rest GROUP BY u.source),
 below AS (
   SELECT e.source, e.h + CASE WHEN u.upto - r.rest < r.rest - (u.upto - u.words) THEN 1 ELSE 0 END AS below
-  FROM edge e JOIN upto u ON e.source IS NOT DISTINCT FROM u.source AND e.h = u.h JOIN rests r ON e.source IS NOT DISTINCT FROM r.source)
+  FROM edge e JOIN upto u ON e.source IS NOT DISTINCT FROM u.source AND e.h = u.h JOIN rests r ON e.source IS NOT DISTINCT FROM r.source WHERE r.rest > 0)
 SELECT s.doc_id, s.size, r.words AS source_size, r.target,
        (s.size * (r.copies + CASE WHEN coalesce(s.h < b.below, false) THEN 1 ELSE 0 END))::BIGINT AS taken
 FROM sized s JOIN rests r ON s.source IS NOT DISTINCT FROM r.source LEFT JOIN below b ON s.source IS NOT DISTINCT FROM b.source
