@@ -67,7 +67,8 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_onebit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return onebit.search(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+    found = onebit.search(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+    return found.select("query_id", "rank", "vec_id", "score")
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
