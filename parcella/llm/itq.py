@@ -13,8 +13,9 @@ dealt into pairs of chunks. A pair counts in the first table where it meets, so
 found; only counts and spanning edges leave a task, never all pairs.
 
 Cases: vectors that are null, empty, zero or hold null or non-finite components link with nothing and form a component of
-their own. Vectors of different lengths don't link. Repeated rows are linked like any equal vectors. A null id has no
-component of its own: it gets that of its class.
+their own. Vectors of different lengths don't link. Repeated rows are linked like any equal vectors; rows that
+repeat an id with different vectors are different ones. A null id never names a component unless all its rows have none: then that
+is null, and no row of it is kept by name. Extra columns don't matter. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -195,10 +196,12 @@ def near_dedup(vectors: DataFrame, threshold: float = 0.9, recall: float = 0.95,
     """(vec_id, n_links, component_id, kept), named by id_col: one row per row of vectors."""
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector"))
     good = rows.where(usable(F.col("vector")))
-    classes = stored(good.groupBy("vector").agg(F.min("id").alias("least"), F.count("*").alias("rows")).withColumn("id", F.coalesce("least", F.xxhash64("vector"))), "itqclasses")
+    # a class is named by its place in the table, written once: ids may repeat or be null, and hashes may meet
+    classes = good.groupBy("vector").agg(F.min("id").alias("least"), F.count("*").alias("rows"))
+    classes = stored(classes.withColumn("id", F.monotonically_increasing_id()), "itqclasses")
     n = classes.count()
     models: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-    seen = [np.asarray(r[0]) for r in classes.orderBy(F.xxhash64("id")).limit(sample).select("vector").collect()]
+    seen = [np.asarray(r[0]) for r in classes.orderBy(F.xxhash64("vector"), "vector").limit(sample).select("vector").collect()]
     known = {dim: unit(np.stack([v for v in seen if len(v) == dim])) for dim in {len(v) for v in seen}}
     bits, tables, centred = tables_for(n, threshold, recall, {dim: ((u - u.mean(axis=0)) ** 2).sum(axis=1) for dim, u in known.items()})
     for dim, u in known.items():
@@ -216,7 +219,10 @@ def near_dedup(vectors: DataFrame, threshold: float = 0.9, recall: float = 0.95,
     found = stored(full.select("id", "rows", "vector", "keys", "table", "first", "same", "cell").mapInArrow(_rerank(threshold), "a long, b long, links long"), "itqlinks")
     degree = found.groupBy(F.col("a").alias("id")).agg(F.sum("links").alias("links"))
     groups = components(found.where("links = 0").select("a", "b")).withColumnRenamed("node", "id")
-    named = classes.join(degree, "id", "left").join(groups, "id", "left").select(F.col("vector").alias("v"), (F.col("rows") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "least").alias("component_id"))
+    linked = classes.join(degree, "id", "left").join(groups, "id", "left").withColumn("root", F.coalesce("component", "id"))
+    # of a component, the smallest id that any of its rows has
+    least = linked.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = linked.join(least, "root").select(F.col("vector").alias("v"), (F.col("rows") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component_id")
     joined = rows.join(named, rows["vector"] == named["v"], "left")
     return joined.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "id").alias("component_id")).withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(False)))
 

@@ -181,6 +181,35 @@ def test_vectors_that_cannot_link(spark):
     assert itq.near_dedup(vectors(spark, [])).count() == 0 and onebit.search(vectors(spark, []), F.lit(True)).count() == 0
 
 
+def test_rows_that_share_an_id_or_have_none(spark):
+    turn = lambda d: [float(np.cos(np.radians(d))), float(np.sin(np.radians(d)))]
+    rows = [(5, turn(0)), (None, turn(0.2)), (5, turn(90)), (9, turn(90.1)), (None, turn(200)), (None, turn(200.1))]
+    got = sorted((r["component_id"] is None, r["vec_id"] or 0, r["n_links"], r["component_id"], r["kept"]) for r in itq.near_dedup(vectors(spark, rows)).collect())
+    assert got == [(False, 0, 1, 5, False), (False, 5, 1, 5, True), (False, 5, 1, 5, True), (False, 9, 1, 5, False), (True, 0, 1, None, False), (True, 0, 1, None, False)]
+    asked = onebit.search(vectors(spark, rows), F.col("vec_id") == 5, k=2).collect()
+    assert sorted((r["rank"], r["vec_id"] or 0) for r in asked) == [(1, 0), (1, 9), (2, 0), (2, 5)] and {r["query_id"] for r in asked} == {5}
+    far = [(0, [1e200, 1e200]), (1, [1e200, 2e200]), (2, [3e-200, 3e-200]), (3, [-1.0, 0.0])]
+    wide = spark.createDataFrame(far, "vec_id long, embedding array<double>")
+    best = sorted((r["rank"], r["vec_id"], round(r["score"], 9)) for r in onebit.search(wide, F.col("vec_id") == 0, k=2).collect())
+    assert best == [(1, 2, 1.0), (2, 1, round(3 / 10**0.5, 9))]
+
+
+def test_the_search_query_equals_brute_force_on_its_table(spark):
+    v = {r["vec_id"]: np.array(r["embedding"], float) for r in spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").collect() if r["embedding"]}
+    got = {}
+    for r in QUERIES["op9_onebit"](spark, "/root/testdata/sf0.001").collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    ids, hit, all_of = np.array(sorted(v)), 0, 0
+    x = np.stack([v[i] for i in ids])
+    for q in ids[ids % 50 == 0]:
+        score = onebit.cosine(x, v[q])
+        score[ids == q] = -2
+        best = np.lexsort((ids, -score))[:5]
+        hit, all_of = hit + len(set(ids[best].tolist()) & {b for _, b, _ in got[q]}), all_of + 5
+        assert sorted(a for a, _, _ in got[q]) == [1, 2, 3, 4, 5] and all(s == pytest.approx(score[ids == b][0], abs=1e-12) for _, b, s in got[q])
+    assert len(got) == (ids % 50 == 0).sum() and hit >= 0.95 * all_of
+
+
 def test_search_equals_brute_force_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(onebit, "VECTORS", 50)
     monkeypatch.setattr(onebit, "QUERIES", 7)
@@ -213,6 +242,16 @@ def test_mixing_of_odd_rows(spark):
     assert mixing.mixture(df).columns == df.columns
 
 
+def test_rows_without_an_id_are_mixed_one_by_one(spark):
+    rng = random.Random(12)
+    rows = [(None if k % 2 else 7, " ".join(f"x{k}y{j}" for j in range(rng.randint(5, 15))), f"s{k % 3}") for k in range(900)]
+    by = {}
+    for r in mixing.mix(docs(spark, rows)).collect():
+        by.setdefault(r["source"], []).append(r)
+    assert any(0 < sum(r["copies"] == 1 for r in own) < len(own) for own in by.values())
+    assert all(abs(sum(r["size"] * r["copies"] for r in own) - own[0]["target"]) <= 15 for own in by.values())
+
+
 def test_targets_are_met_and_reruns_agree(spark):
     rng = random.Random(4)
     rows = [(k, " ".join("x" * rng.randint(1, 60)), f"s{k % 5}") for k in range(1500)]
