@@ -338,6 +338,12 @@ def test_licences_in_canonical_form(spark):
     assert got == [(1, "MIT"), (1, "MIT"), (2, "MIT"), (3, None), (4, None), (5, None), (6, None), (7, None), (8, None)]
     lines = [(r["id"], r["line_no"], r["license"]) for r in license.scan_lines(docs(spark, rows)).collect()]
     assert lines == [(6, 1, "Apache-2.0 notice")]
+    # titles, copyright lines without a year, and spellings side by side
+    bsd = license.KNOWN["BSD-3-Clause"]
+    others = [(1, "The MIT License (MIT)\n\nCopyright (c) Somebody\n\n" + mit.removeprefix("MIT License\n"), "a"), (2, "© The Authors\n" + bsd, "a"), (3, bsd.replace("3. Neither", "Neither"), "a"), (4, license.KNOWN["BSL-1.0"].replace("\n", " "), "a")]
+    assert sorted((r["id"], r["license"]) for r in license.scan_texts(docs(spark, others)).collect()) == [(1, "MIT"), (2, "BSD-3-Clause"), (3, None), (4, "BSL-1.0")]
+    same = spark.createDataFrame([("Licence licence licence, per cent per cent",), ("license LICENSE license percent percent",)], "text string")
+    assert same.select(license.canonical(F.col("text")).alias("c")).distinct().count() == 1
     own = spark.createDataFrame([("b", "x y"), ("a", "X, Y!"), ("c", None)], "license string, text string")
     assert license.scan_texts(docs(spark, [(1, "x -- y", "s")]), own).first()["license"] == "a"
     assert license.scan_texts(docs(spark, [])).count() == 0
