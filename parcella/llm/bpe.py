@@ -10,6 +10,7 @@ merges in the same order from a heap, in n log n.
 
 Cases: null and empty texts have no tokens. Any text is encoded whole. The pieces' cache is bounded and only saves time.
 Extra columns pass through unless a result column has their name, which then holds the result.
+Repeated rows are encoded each, and an empty table gives an empty result.
 """
 
 from __future__ import annotations

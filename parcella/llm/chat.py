@@ -2,7 +2,8 @@
 
 A conversation is cut into windows of whole turns. Prefix sums of turn tokens place every turn on a line that is ruled at
 multiples of the window's room: turns that lie within one cell share a window, and a turn that crosses a rule has one of
-its own, so only a turn that is longer than the room by itself exceeds it. Every window begins with the conversation's
+its own, so beside a turn that is longer than the room by itself, only an oversized system turn makes a window exceed its budget: the room
+is a quarter of the budget at least, and the system turn is shown whole whatever its size. Every window begins with the conversation's
 system turn, if its first turn is one, and repeats up to `history_turns` turns before it within `history_tokens` tokens.
 Assistant turns of the window itself are targets, given as spans of the formatted text; repeated ones are masked.
 

@@ -11,7 +11,8 @@ they weren't fitted on. The fitted model is small and goes to executors with the
 
 Cases: a null or empty text has a score too, that of no features. Labels that are null, of missing documents or of
 documents without a text don't count. Without labels of both kinds every score is the share of label 1 (0 without labels). Repeated
-rows score alike. Extra columns don't matter.
+rows score alike. Very long texts are read whole. Extra columns don't matter to score(); mark() replaces a column of the
+score's name. An empty table gives an empty result.
 """
 
 from __future__ import annotations
