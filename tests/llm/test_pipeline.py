@@ -78,3 +78,14 @@ def test_encoding_equals_the_library(steps):
         want = library.encode_ordinary(text[r["doc_id"]])
         assert r["round_trip"] and list(r["ids"]) == want and r["n_tokens"] == len(want)
         assert r["ids_sha256"] == hashlib.sha256(",".join(map(str, want)).encode()).hexdigest()
+
+
+def test_stages_take_null_ids_null_and_empty_texts_and_extra_columns(spark):
+    rows = [(None, "one two three four five six seven", "a"), (None, "quite another text that nobody else has written here", "a"), (4, "first text of the id four, with words of its own", "b"), (4, "second text of that id, which says something different", "b"), (5, None, "a"), (6, "", None), (7, " \t ", "b")]
+    df = spark.createDataFrame([(i, t, "en", s, len(t or ""), 0) for i, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long, node long")
+    lines = corpus_pipeline.without_repeated_lines(spark, df, "")
+    kept = corpus_pipeline.one_of_near_copies(spark, lines, "")
+    assert lines.columns == kept.columns == corpus_pipeline.COLUMNS and lines.count() == len(rows)
+    got = sorted((r["text"] or "").strip() for r in kept.collect())
+    assert got == sorted({(t or "").strip() for _, t, _ in rows})
+    assert corpus_pipeline.without_repeated_lines(spark, df.limit(0), "").count() == 0
