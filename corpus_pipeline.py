@@ -5,7 +5,7 @@ one document of each group of near copies (Jaccard similarity of 0.8 on five-wor
 its name) stays, the one of smallest id, documents are taken as often as their
 source's target asks, and the result is encoded. Stages are written as Parquet between one another.
 
-Cases: null texts are neither toxic nor have lines; they and empty ones are one group of near copies, of which one row stays.
+Cases: a null text has the toxicity of no features, and no lines; null and empty texts are one group of near copies, of which one row stays.
 Rows that repeat an id or have none are told apart by their texts. Only the columns of documents go on; n_chars is that of the
 text as it is after line dedup. An empty table gives an empty result.
 """
