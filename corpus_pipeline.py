@@ -1,9 +1,9 @@
 """A corpus pipeline: toxicity, line dedup, near-dedup, mixing sources to target weights, byte-level BPE.
 
 Every stage takes all documents that its predecessor kept and decides about them: toxic documents go, later matches of lines go,
-one document of each group of near copies (Jaccard similarity of 0.8 on five-word shingles, see shingles.py; the stage keeps
-its name) stays, the one of smallest id, documents are taken as often as their
-source's target asks, and the result is encoded. Stages are written as Parquet between one another.
+one document of each group of near copies (Jaccard similarity of 0.8 on five-word shingles; candidates come from SimHash
+links and from an exact join for what fingerprints lose, see shingles.py) stays, the one of smallest id, documents are
+taken as often as their source's target asks, and the result is encoded. Stages are written as Parquet between one another.
 
 Cases: a null text has the toxicity of no features, and no lines; null and empty texts are one group of near copies, of which one row stays.
 Rows that repeat an id or have none are told apart by their texts. Only the columns of documents go on; n_chars is that of the

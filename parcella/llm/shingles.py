@@ -1,18 +1,20 @@
-"""Near copies by an exact set-similarity join of word shingles.
+"""Near copies by SimHash links, and by an exact set-similarity join of word shingles for the links that fingerprints lose.
 
 A text's set holds the hashes of its shingles of `words` words (A-Z lowered, words parted by the six ASCII spaces; a text of
 fewer words is one shingle). Texts whose sets have a Jaccard similarity of `threshold` or more link; a document's group is
 its connected component.
 
-1. Shingles are counted by hash bucket (a table of RARITY entries, whatever the corpus), and a set is put in order of its
+1. Equal sets collapse to one node. The shingles' SimHash fingerprints meet by the bit-sliced comparison of simhash.py; what it
+   links are candidates.
+2. Shingles are counted by hash bucket (a table of RARITY entries, whatever the corpus), and a set is put in order of its
    buckets' counts, rarest first, so that texts don't meet by what many of them share.
-2. Equal sets collapse to one node.
 3. Two sets of similarity t share a shingle among the first n - ceil(t n) + 1 of each: no link is missed. The sizes and the
    shared shingle's positions bound the overlap.
-4. The texts that share a prefix shingle are first held against one of them, the group's least node. Texts that this puts
-   in one component need no further link between them; only those of different components meet, so a large group of near
-   copies doesn't emit its pairs.
-5. Jaccard is verified on the whole sets, which are made again from the texts of the candidates only.
+4. The texts that share a prefix shingle are first held against one of them, the group's least node. Texts that this or
+   SimHash puts in one component need no further link between them; only those of different components meet, so a large group
+   of near copies doesn't emit its pairs.
+5. Parity bits of the sets bound their difference. Jaccard is verified on the whole sets of the pairs that are left, SimHash's
+   too; they are made again from the candidates' texts only.
 
 Cases: null and empty texts, and those of white space only, have the empty set and are one group. Repeated rows are in one
 group. Ids don't matter. An empty table gives an empty result.
@@ -31,17 +33,37 @@ from pyspark.sql import functions as F
 
 from parcella.llm.common import stored, with_arrow_batches
 from parcella.llm.components import components
+from parcella.llm.simhash import links, majority
 
 THRESHOLD, WORDS, RARITY = 0.8, 5, 1 << 17
+#: Differing bits up to which SimHash links, and parity bits of a set.
+RADIUS, PARITY = 3, 2048
 
 
-def shingle_set(text: str | None, words: int = WORDS, seed: int = 42) -> np.ndarray:
-    """The sorted hashes of a text's shingles."""
+def shingle_hashes(text: str | None, words: int = WORDS) -> np.ndarray:
+    """The hashes of a text's shingles, in order and with repeats: mixed from the hashes of their words."""
     tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z and the six ASCII spaces only
-    if not tokens:
-        return np.zeros(0, np.uint64)
-    digest = xxhash.xxh64_intdigest
-    return np.unique(np.array([digest(b" ".join(tokens[k : k + words]), seed) for k in range(max(1, len(tokens) - words + 1))], np.uint64))
+    w = np.frombuffer(b"".join(map(xxhash.xxh64_digest, tokens)), np.uint64)
+    if not len(w):
+        return w
+    n = max(1, len(w) - words + 1)
+    h = np.zeros(n, np.uint64)
+    for k in range(min(words, len(w))):
+        h += w[k : k + n]
+        h *= np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(32))
+
+
+def _different(hashes: np.ndarray) -> np.ndarray:
+    s = np.sort(hashes)
+    return s[np.concatenate(([True], s[1:] != s[:-1]))] if len(s) else s
+
+
+def shingle_set(text: str | None, words: int = WORDS) -> np.ndarray:
+    """The sorted hashes of a text's shingles."""
+    return _different(shingle_hashes(text, words))
 
 
 def rarity(docs: DataFrame, words: int, text_col: str) -> np.ndarray:
@@ -51,7 +73,7 @@ def rarity(docs: DataFrame, words: int, text_col: str) -> np.ndarray:
         counts = np.zeros(RARITY, np.int64)
         for b in batches:
             for t in b.column(0):
-                np.add.at(counts, (shingle_set(t.as_py(), words) & np.uint64(RARITY - 1)).astype(np.int64), 1)
+                np.add.at(counts, (shingle_set(t.as_py(), words) & np.uint64(RARITY - 1)).view(np.int64), 1)
         some = np.nonzero(counts)[0]
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[some])], names=["b", "c"])
 
@@ -64,25 +86,31 @@ def rarity(docs: DataFrame, words: int, text_col: str) -> np.ndarray:
 
 
 def keyed(docs: DataFrame, threshold: float, words: int, text_col: str) -> DataFrame:
-    """docs with __node, a digest of the text's set, its size __n and its prefix shingles __prefix."""
+    """docs with __node, a digest of the text's set, its size __n, its prefix shingles __prefix, parity bits __bits and the SimHash fingerprint __fp."""
     with_arrow_batches(docs.sparkSession)
     classes = rarity(docs, words, text_col)
-    place, names = docs.columns.index(text_col), [*docs.columns, "__node", "__n", "__prefix"]
+    place, names = docs.columns.index(text_col), [*docs.columns, "__node", "__n", "__prefix", "__bits", "__fp"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            nodes, sizes, prefixes = [], [], []
+            nodes, sizes, prefixes, parities, prints = [], [], [], [], []
             for t in b.column(place):
-                s = shingle_set(t.as_py(), words)
+                hashes = shingle_hashes(t.as_py(), words)
+                s = _different(hashes)
                 nodes.append(xxhash.xxh64_intdigest(s.tobytes(), len(s)))
                 sizes.append(len(s))
-                first = np.lexsort((s, classes[(s & np.uint64(RARITY - 1)).astype(np.int64)]))[: len(s) - math.ceil(len(s) * threshold - 1e-9) + 1]
+                first = np.lexsort((s, classes[(s & np.uint64(RARITY - 1)).view(np.int64)]))[: len(s) - math.ceil(len(s) * threshold - 1e-9) + 1]
                 prefixes.append(s[first].view(np.int64))
-            more = [pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(np.array(sizes, np.int32)), pa.array(prefixes, pa.list_(pa.int64()))]
+                odd = np.bincount((s >> np.uint64(40) & np.uint64(PARITY - 1)).view(np.int64), minlength=PARITY) & 1
+                parities.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
+                prints.append(majority(hashes))
+            long = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
+            lists = pa.list_(pa.int64())
+            more = [long(nodes), pa.array(np.array(sizes, np.int32)), pa.array(prefixes, lists), pa.array(parities, lists), long(prints)]
             yield pa.RecordBatch.from_arrays([*b.columns, *more], names=names)
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{kinds}, __node long, __n int, __prefix array<long>")
+    return docs.mapInArrow(run, f"{kinds}, __node long, __n int, __prefix array<long>, __bits array<long>, __fp long")
 
 
 def _fits(x: Column, y: Column, threshold: float) -> Column:
@@ -92,9 +120,18 @@ def _fits(x: Column, y: Column, threshold: float) -> Column:
     return (F.least(x["n"], y["n"]) >= F.greatest(x["n"], y["n"]) * threshold - 1e-9) & (F.least(x["pos"], y["pos"]) + left >= need)
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, threshold: float, words: int, text_col: str) -> DataFrame:
+def _may(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
+    """Those of pairs (a, b) of nodes whose sizes and parity bits allow the similarity."""
+    for end in "ab":
+        pairs = pairs.join(nodes.select(F.col("node").alias(end), F.col("n").alias(f"n_{end}"), F.col("bits").alias(f"bits_{end}")), end)
+    differ = sum((F.bit_count(F.get("bits_a", F.lit(k)).bitwiseXOR(F.get("bits_b", F.lit(k)))) for k in range(PARITY // 64)), F.lit(0))
+    sizes = F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * threshold - 1e-9
+    return pairs.where(sizes & (differ <= (F.col("n_a") + F.col("n_b")) * ((1 - threshold) / (1 + threshold)) + 1e-9)).select("a", "b")
+
+
+def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, threshold: float, words: int, text_col: str) -> DataFrame:
     """Those of pairs (a, b) of nodes whose sets are similar enough."""
-    pairs = stored(pairs.distinct(), "shinglepairs")
+    pairs = stored(_may(pairs.distinct(), nodes, threshold), "shinglepairs")
     ends = pairs.select(F.col("a").alias("__node")).unionByName(pairs.select(F.col("b").alias("__node"))).distinct()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,22 +146,33 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: float, words: int,
     return stored(both.where(common >= F.lit(threshold) * (F.size("x") + F.size("y") - common) - 1e-9).select("a", "b"), "shinglelinks")
 
 
+def _by_simhash(nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes that SimHash links: those of one fingerprint with its least node, and the least nodes of linked fingerprints."""
+    classes = nodes.groupBy("fp").agg(F.min("node").alias("least"))
+    within = nodes.join(classes, "fp").where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b"))
+    of = lambda end, name: classes.select(F.col("fp").alias(end), F.col("least").alias(name))
+    across = links(classes.select("fp"), RADIUS).join(of("a", "x"), "a").join(of("b", "y"), "b")
+    return within.unionByName(across.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
+
+
 def near_copies(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, text_col: str = "text") -> DataFrame:
     """docs with __group, which rows of one group share."""
     rows = stored(keyed(docs, threshold, words, text_col), "shinglerows")
-    nodes = rows.where("__n > 0").groupBy("__node").agg(F.first("__n").alias("n"), F.first("__prefix").alias("prefix"))
-    tokens = nodes.select(F.posexplode("prefix").alias("pos", "token"), F.col("__node").alias("node"), "n").select("token", F.struct("node", "n", "pos").alias("y"))
+    nodes = rows.where("__n > 0").groupBy(F.col("__node").alias("node")).agg(F.first("__n").alias("n"), F.first("__prefix").alias("prefix"), F.first("__bits").alias("bits"), F.min("__fp").alias("fp"))
+    nodes = stored(nodes, "shinglenodes")
+    tokens = nodes.select(F.posexplode("prefix").alias("pos", "token"), "node", "n").select("token", F.struct("node", "n", "pos").alias("y"))
     whole = tokens.groupBy("token").agg(F.min("y").alias("lead"), F.count("*").alias("rows")).where("rows > 1")
     shared = stored(tokens.join(whole, "token"), "shingletokens")
     others = shared.where(F.col("y.node") != F.col("lead.node"))
-    texts = rows.select("__node", text_col)
-    near = _verified(others.where(_fits(F.col("lead"), F.col("y"), threshold)).select(F.col("lead.node").alias("a"), F.col("y.node").alias("b")), texts, threshold, words, text_col)
+    texts, shapes = rows.select("__node", text_col), nodes.select("node", "n", "bits")
+    led = others.where(_fits(F.col("lead"), F.col("y"), threshold)).select(F.col("lead.node").alias("a"), F.col("y.node").alias("b"))
+    near = _verified(_by_simhash(nodes.select("node", "fp")).unionByName(led), shapes, texts, threshold, words, text_col)
     found = components(near)
     rest = others.where("rows > 2").select("token", "y", F.col("y.node").alias("node")).join(found, "node", "left").select("token", "y", F.coalesce("component", "node").alias("label"))
     apart = rest.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("token")
     rest = stored(rest.join(apart, "token"), "shinglerest")
     pairs = rest.select("token", F.col("y").alias("x"), F.col("label").alias("other")).join(rest, "token")
     pairs = pairs.where((F.col("x.node") < F.col("y.node")) & (F.col("other") != F.col("label")) & _fits(F.col("x"), F.col("y"), threshold)).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-    groups = components(near.unionByName(_verified(pairs, texts, threshold, words, text_col)))
-    kept = rows.drop("__n", "__prefix").join(groups.withColumnRenamed("node", "__node"), "__node", "left")
+    groups = components(near.unionByName(_verified(pairs, shapes, texts, threshold, words, text_col)))
+    kept = rows.drop("__n", "__prefix", "__bits", "__fp").join(groups.withColumnRenamed("node", "__node"), "__node", "left")
     return kept.select(*docs.columns, F.coalesce("component", "__node").alias("__group"))

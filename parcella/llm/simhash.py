@@ -55,6 +55,15 @@ def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
     return int.from_bytes(np.packbits(counts * 2 > n).tobytes(), "big")
 
 
+def majority(hashes: np.ndarray) -> int:
+    """The fingerprint of shingles whose 64-bit hashes are given, repeats included; zero for none."""
+    counts = np.zeros(64, np.int64)
+    for a in range(0, len(hashes), PIECE):
+        raw = hashes[a : a + PIECE].astype(">u8").view(np.uint8).reshape(-1, 8)
+        counts += np.unpackbits(raw, axis=1).sum(axis=0, dtype=np.int32)
+    return int.from_bytes(np.packbits(counts * 2 > len(hashes)).tobytes(), "big")
+
+
 def fingerprints(docs: DataFrame, words: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fp): one row per row of docs; fp is the fingerprint as a signed long."""
     with_arrow_batches(docs.sparkSession)
