@@ -36,10 +36,8 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the row of smallest id (then text); rows of different groups may share an id or have none."""
-    groups = shingles.near_copies(docs.select(*COLUMNS))
-    order = F.struct(F.col("doc_id").isNull().alias("none"), *COLUMNS)
-    return groups.groupBy("__group").agg(F.min(order).alias("r")).select(*(f"r.{c}" for c in COLUMNS))
+    """Of each group of near copies the row of smallest id; rows of different groups may share an id or have none."""
+    return shingles.one_of_each(docs.select(*COLUMNS))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -16,6 +16,9 @@ its connected component.
 5. Parity bits of the sets bound their difference. Jaccard is verified on the whole sets of the pairs that are left, SimHash's
    too; they are made again from the candidates' texts only.
 
+Texts are read thrice and stay where they are: what the steps above keep is named by two 64-bit hashes of a whole row, and only
+candidates, repeated rows and rows to be removed (found by a bounded table of hashes) are shuffled with their texts.
+
 Cases: null and empty texts, and those of white space only, have the empty set and are one group. Repeated rows are in one
 group. Ids don't matter. An empty table gives an empty result.
 """
@@ -33,11 +36,12 @@ from pyspark.sql import functions as F
 
 from parcella.llm.common import stored, with_arrow_batches
 from parcella.llm.components import components
+from parcella.llm.linededup import _marked
 from parcella.llm.simhash import links, majority
 
 THRESHOLD, WORDS, RARITY = 0.8, 5, 1 << 17
 #: Differing bits up to which SimHash links, and parity bits of a set.
-RADIUS, PARITY = 3, 2048
+RADIUS, PARITY = 3, 512
 
 
 def shingle_hashes(text: str | None, words: int = WORDS) -> np.ndarray:
@@ -85,16 +89,26 @@ def rarity(docs: DataFrame, words: int, text_col: str) -> np.ndarray:
     return classes
 
 
-def keyed(docs: DataFrame, threshold: float, words: int, text_col: str) -> DataFrame:
-    """docs with __node, a digest of the text's set, its size __n, its prefix shingles __prefix, parity bits __bits and the SimHash fingerprint __fp."""
+def _named(docs: DataFrame) -> DataFrame:
+    """docs with r1 and r2, hashes of the whole row; nulls count."""
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    of = lambda seed: F.xxhash64(F.lit(seed), *(c.isNull() for c in columns), *columns)
+    return docs.select("*", of(1).alias("__r1"), of(2).alias("__r2"))
+
+
+def keyed(docs: DataFrame, threshold: float, words: int, id_col: str, text_col: str) -> DataFrame:
+    """(r1, r2, id, node, n, prefix, bits, fp) of every row: a digest of its text's set, the set's size, prefix shingles and parity bits, and the SimHash fingerprint."""
     with_arrow_batches(docs.sparkSession)
     classes = rarity(docs, words, text_col)
-    place, names = docs.columns.index(text_col), [*docs.columns, "__node", "__n", "__prefix", "__bits", "__fp"]
+    lists = pa.list_(pa.int64())
+
+    def long(values: list[int]) -> pa.Array:
+        return pa.array(np.array(values, np.uint64).view(np.int64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             nodes, sizes, prefixes, parities, prints = [], [], [], [], []
-            for t in b.column(place):
+            for t in b.column(3):
                 hashes = shingle_hashes(t.as_py(), words)
                 s = _different(hashes)
                 nodes.append(xxhash.xxh64_intdigest(s.tobytes(), len(s)))
@@ -104,13 +118,11 @@ def keyed(docs: DataFrame, threshold: float, words: int, text_col: str) -> DataF
                 odd = np.bincount((s >> np.uint64(40) & np.uint64(PARITY - 1)).view(np.int64), minlength=PARITY) & 1
                 parities.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
                 prints.append(majority(hashes))
-            long = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
-            lists = pa.list_(pa.int64())
             more = [long(nodes), pa.array(np.array(sizes, np.int32)), pa.array(prefixes, lists), pa.array(parities, lists), long(prints)]
-            yield pa.RecordBatch.from_arrays([*b.columns, *more], names=names)
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], *more], names=["r1", "r2", "id", "node", "n", "prefix", "bits", "fp"])
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{kinds}, __node long, __n int, __prefix array<long>, __bits array<long>, __fp long")
+    src = _named(docs).select(F.col("__r1").alias("r1"), F.col("__r2").alias("r2"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    return src.mapInArrow(run, "r1 long, r2 long, id long, node long, n int, prefix array<long>, bits array<long>, fp long")
 
 
 def _fits(x: Column, y: Column, threshold: float) -> Column:
@@ -129,17 +141,19 @@ def _may(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
     return pairs.where(sizes & (differ <= (F.col("n_a") + F.col("n_b")) * ((1 - threshold) / (1 + threshold)) + 1e-9)).select("a", "b")
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, threshold: float, words: int, text_col: str) -> DataFrame:
+def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, threshold: float, words: int, text_col: str) -> DataFrame:
     """Those of pairs (a, b) of nodes whose sets are similar enough."""
     pairs = stored(_may(pairs.distinct(), nodes, threshold), "shinglepairs")
-    ends = pairs.select(F.col("a").alias("__node")).unionByName(pairs.select(F.col("b").alias("__node"))).distinct()
+    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    ends = ends.join(nodes.select("node", F.col("row.r1").alias("__r1"), F.col("row.r2").alias("__r2")), "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = [shingle_set(t.as_py(), words).view(np.int64) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "s"])
 
-    some = texts.join(ends, "__node", "left_semi").groupBy("__node").agg(F.min(text_col).alias("text"))
+    texts = _marked(_named(docs).select("__r1", "__r2", F.col(text_col).alias("text")), ends, "__r1").where("__may")
+    some = texts.join(ends, ["__r1", "__r2"]).groupBy("node").agg(F.min("text").alias("text"))
     sets = stored(some.mapInArrow(run, "node long, s array<long>"), "shinglesets")
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
@@ -155,24 +169,38 @@ def _by_simhash(nodes: DataFrame) -> DataFrame:
     return within.unionByName(across.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
 
 
-def near_copies(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, text_col: str = "text") -> DataFrame:
-    """docs with __group, which rows of one group share."""
-    rows = stored(keyed(docs, threshold, words, text_col), "shinglerows")
-    nodes = rows.where("__n > 0").groupBy(F.col("__node").alias("node")).agg(F.first("__n").alias("n"), F.first("__prefix").alias("prefix"), F.first("__bits").alias("bits"), F.min("__fp").alias("fp"))
+def near_copies(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(r1, r2, id, group) of every row of docs: hashes of the row, its id, and what rows of one group share."""
+    rows = stored(keyed(docs, threshold, words, id_col, text_col), "shinglerows")
+    nodes = rows.where("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits"), F.min("fp").alias("fp"), F.min(F.struct("r1", "r2")).alias("row"))
     nodes = stored(nodes, "shinglenodes")
-    tokens = nodes.select(F.posexplode("prefix").alias("pos", "token"), "node", "n").select("token", F.struct("node", "n", "pos").alias("y"))
-    whole = tokens.groupBy("token").agg(F.min("y").alias("lead"), F.count("*").alias("rows")).where("rows > 1")
-    shared = stored(tokens.join(whole, "token"), "shingletokens")
-    others = shared.where(F.col("y.node") != F.col("lead.node"))
-    texts, shapes = rows.select("__node", text_col), nodes.select("node", "n", "bits")
+    tokens = nodes.select(F.posexplode("prefix").alias("pos", "token"), "node", "n")
+    whole = tokens.groupBy("token").agg(F.count("*").alias("rows")).where("rows > 1")
+    shared = stored(tokens.join(whole, "token").select("token", "rows", F.struct("node", "n", "pos").alias("y")), "shingletokens")
+    others = shared.join(shared.groupBy("token").agg(F.min("y").alias("lead")), "token").where(F.col("y.node") != F.col("lead.node"))
+    shapes = nodes.select("node", "n", "bits", "row")
     led = others.where(_fits(F.col("lead"), F.col("y"), threshold)).select(F.col("lead.node").alias("a"), F.col("y.node").alias("b"))
-    near = _verified(_by_simhash(nodes.select("node", "fp")).unionByName(led), shapes, texts, threshold, words, text_col)
+    near = _verified(_by_simhash(nodes.select("node", "fp")).unionByName(led), shapes, docs, threshold, words, text_col)
     found = components(near)
     rest = others.where("rows > 2").select("token", "y", F.col("y.node").alias("node")).join(found, "node", "left").select("token", "y", F.coalesce("component", "node").alias("label"))
     apart = rest.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("token")
     rest = stored(rest.join(apart, "token"), "shinglerest")
     pairs = rest.select("token", F.col("y").alias("x"), F.col("label").alias("other")).join(rest, "token")
     pairs = pairs.where((F.col("x.node") < F.col("y.node")) & (F.col("other") != F.col("label")) & _fits(F.col("x"), F.col("y"), threshold)).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-    groups = components(near.unionByName(_verified(pairs, shapes, texts, threshold, words, text_col)))
-    kept = rows.drop("__n", "__prefix", "__bits", "__fp").join(groups.withColumnRenamed("node", "__node"), "__node", "left")
-    return kept.select(*docs.columns, F.coalesce("component", "__node").alias("__group"))
+    groups = components(near.unionByName(_verified(pairs, shapes, docs, threshold, words, text_col)))
+    return rows.select("r1", "r2", "id", "node").join(groups, "node", "left").select("r1", "r2", "id", F.coalesce("component", "node").alias("group"))
+
+
+def one_of_each(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Of each group the row of smallest id, null after others; of several such rows that with the least hash, once."""
+    rows = near_copies(docs, threshold, words, id_col, text_col)
+    alike = rows.groupBy("group", "id", "r1", "r2").agg(F.count("*").alias("copies"))
+    place = lambda: F.struct(F.col("id").isNull().alias("none"), "id", "r1", "r2")
+    first = alike.groupBy("group").agg(F.min(place()).alias("first"))
+    decided = alike.join(first, "group").select(F.col("r1").alias("__r1"), F.col("r2").alias("__r2"), place().eqNullSafe(F.col("first")).alias("__first"), "copies")
+    special = stored(decided.where("not __first or copies > 1").drop("copies"), "shinglegone")
+    marked = _marked(_named(docs), special, "__r1")
+    some = marked.where("__may").join(special, ["__r1", "__r2"], "left")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    once = some.where("__first").dropDuplicates(["__r1", "__r2"]).select(*columns)
+    return marked.where("not __may").select(*columns).unionByName(some.where("__first is null").select(*columns)).unionByName(once)
