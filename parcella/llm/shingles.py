@@ -13,7 +13,7 @@ its connected component.
 4. The texts that share a prefix shingle are first held against one of them, the group's least node. Texts that this or
    SimHash puts in one component need no further link between them; only those of different components meet, so a large group
    of near copies doesn't emit its pairs.
-5. Parity bits of the sets bound their difference. Jaccard is verified on the whole sets of the pairs that are left, SimHash's
+5. Parity bits of the sets, one a shingle or more, bound their difference. Jaccard is verified on the whole sets of the pairs that are left, SimHash's
    too; they are made again from the candidates' texts only.
 
 Texts are read thrice and stay where they are: what the steps above keep is named by two 64-bit hashes of a whole row, and only
@@ -40,8 +40,8 @@ from parcella.llm.linededup import _marked
 from parcella.llm.simhash import links, majority
 
 THRESHOLD, WORDS, RARITY = 0.8, 5, 1 << 17
-#: Differing bits up to which SimHash links, and parity bits of a set.
-RADIUS, PARITY = 3, 512
+#: Differing bits up to which SimHash links.
+RADIUS = 3
 
 
 def shingle_hashes(text: str | None, words: int = WORDS) -> np.ndarray:
@@ -115,7 +115,8 @@ def keyed(docs: DataFrame, threshold: float, words: int, id_col: str, text_col:
                 sizes.append(len(s))
                 first = np.lexsort((s, classes[(s & np.uint64(RARITY - 1)).view(np.int64)]))[: len(s) - math.ceil(len(s) * threshold - 1e-9) + 1]
                 prefixes.append(s[first].view(np.int64))
-                odd = np.bincount((s >> np.uint64(40) & np.uint64(PARITY - 1)).view(np.int64), minlength=PARITY) & 1
+                size = max(64, 1 << (len(s) - 1).bit_length()) if len(s) else 64  # of twice the length halves fold into one
+                odd = np.bincount((s >> np.uint64(40) & np.uint64(size - 1)).view(np.int64), minlength=size) & 1
                 parities.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
                 prints.append(majority(hashes))
             more = [long(nodes), pa.array(np.array(sizes, np.int32)), pa.array(prefixes, lists), pa.array(parities, lists), long(prints)]
@@ -136,9 +137,12 @@ def _may(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
     """Those of pairs (a, b) of nodes whose sizes and parity bits allow the similarity."""
     for end in "ab":
         pairs = pairs.join(nodes.select(F.col("node").alias(end), F.col("n").alias(f"n_{end}"), F.col("bits").alias(f"bits_{end}")), end)
-    differ = sum((F.bit_count(F.get("bits_a", F.lit(k)).bitwiseXOR(F.get("bits_b", F.lit(k)))) for k in range(PARITY // 64)), F.lit(0))
+    k = F.least(F.size("bits_a"), F.size("bits_b"))
+    part = lambda x, i: F.get(x, i).bitwiseXOR(F.coalesce(F.get(x, i + k), F.lit(0).cast("long")))
+    differ = F.aggregate(F.sequence(F.lit(0), k - 1), F.lit(0), lambda n, i: n + F.bit_count(part("bits_a", i).bitwiseXOR(part("bits_b", i))))
     sizes = F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * threshold - 1e-9
-    return pairs.where(sizes & (differ <= (F.col("n_a") + F.col("n_b")) * ((1 - threshold) / (1 + threshold)) + 1e-9)).select("a", "b")
+    # sizes apart by more than a factor of two fail anyway, whatever their bits say
+    return pairs.where(sizes).where((differ <= (F.col("n_a") + F.col("n_b")) * ((1 - threshold) / (1 + threshold)) + 1e-9)).select("a", "b")
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, threshold: float, words: int, text_col: str) -> DataFrame:
