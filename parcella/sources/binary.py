@@ -7,6 +7,7 @@ pyarrow's file systems, so that hdfs, s3 and the like work as local paths do.
 from __future__ import annotations
 
 import io
+import json
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from parcella.functions.geometry import PARAMETERS
+from parcella.operators.checks import same_layout
 
 #: Schemas of the three binaries' tables.
 SCHEMAS = {
@@ -117,6 +119,7 @@ class Span(InputPartition):
     offset: int
     first: int
     count: int
+    path: str = ""
 
 
 class SparseReader(DataSourceReader):
@@ -282,19 +285,35 @@ def ply_header(path: str) -> PlyHeader:
     return header
 
 
+def _ply_paths(options: dict) -> list[str]:
+    return json.loads(options["parts"]) if "parts" in options else [options["path"]]
+
+
+def ply_headers(paths: list[str]) -> list[PlyHeader]:
+    """The headers of files whose vertices have equal properties, in name, type and order; comments and numbers may differ."""
+    if not paths:
+        raise ValueError("no PLY files are given")
+    headers = [ply_header(p) for p in paths]
+    same_layout([h.properties for h in headers])
+    return headers
+
+
 class PlyReader(DataSourceReader):
     def __init__(self, options: dict, schema) -> None:
-        self.path, self.rows, self.schema = options["path"], int(options.get("rows", 1 << 20)), schema
+        self.paths, self.rows, self.schema = _ply_paths(options), int(options.get("rows", 1 << 20)), schema
 
     def partitions(self) -> list[Span]:
-        h = ply_header(self.path)
-        return [Span(h.size + a * h.dtype.itemsize, a, min(self.rows, h.vertices - a)) for a in range(0, h.vertices, self.rows)] or [Span(h.size, 0, 0)]
+        spans, before = [], 0
+        for path, h in zip(self.paths, ply_headers(self.paths)):
+            spans += [Span(h.size + a * h.dtype.itemsize, before + a, min(self.rows, h.vertices - a), path) for a in range(0, h.vertices, self.rows)]
+            before += h.vertices
+        return spans or [Span(0, 0, 0, self.paths[0])]
 
     def read(self, span: Span) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        schema, dtype = to_arrow_schema(self.schema), ply_header(self.path).dtype
-        system, at = opened(self.path)
+        schema, dtype = to_arrow_schema(self.schema), ply_header(span.path).dtype
+        system, at = opened(span.path)
         with system.open_input_file(at) as f:
             f.seek(span.offset)
             for a in range(0, span.count, 1 << 16):
@@ -305,14 +324,16 @@ class PlyReader(DataSourceReader):
 
 
 class PlySource(DataSource):
-    """Format "vertex_ply": the vertices with row_no; the schema follows the header. Options: path; rows of a partition."""
+    """Format "vertex_ply": the vertices with row_no; the schema follows the header. Options: path, or parts (a JSON list of paths
+    whose vertices are numbered on from file to file); rows of a partition."""
 
     @classmethod
     def name(cls) -> str:
         return "vertex_ply"
 
     def schema(self) -> str:
-        return ", ".join(["row_no long", *(f"`{n}` {PLY_TYPES[t][1]}" for n, t in ply_header(self.options["path"]).properties)])
+        h = ply_headers(_ply_paths(self.options))[0]
+        return ", ".join(["row_no long", *(f"`{n}` {PLY_TYPES[t][1]}" for n, t in h.properties)])
 
     def reader(self, schema) -> DataSourceReader:
         return PlyReader(dict(self.options), schema)
@@ -323,10 +344,19 @@ def read_ply(spark: SparkSession, path: str, **options) -> DataFrame:
     return spark.read.format("vertex_ply").options(path=path, **options).load()
 
 
-def write_ply(df: DataFrame, path: str, *order: str, comments: list[str] | None = None) -> None:
-    """Vertices of df in the given order; row_no and block_id are no properties and stay out."""
+def merge_ply(spark: SparkSession, paths: list[str], path: str, **options) -> None:
+    """One file of the vertices of all files, in their order, with the types that their headers name. Files of other properties
+    are errors, before anything is written. One scan reads all of them."""
+    types = dict(ply_headers(paths)[0].properties)
+    spark.dataSource.register(PlySource)
+    write_ply(spark.read.format("vertex_ply").options(parts=json.dumps(paths), **options).load(), path, "row_no", types=types)
+
+
+def write_ply(df: DataFrame, path: str, *order: str, comments: list[str] | None = None, types: dict[str, str] | None = None) -> None:
+    """Vertices of df in the given order; row_no and block_id are no properties and stay out. types names the file's types of
+    properties, where they are not those of the columns."""
     names = [c for c in df.columns if c not in ("row_no", "block_id")]
-    types = {n: SPARK_TO_PLY[t] for n, t in df.select(*names).dtypes}
+    types = types or {n: SPARK_TO_PLY[t] for n, t in df.select(*names).dtypes}
     dtype = np.dtype([(n, PLY_TYPES[types[n]][0]) for n in names])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from parcella.functions.geometry import PARAMETERS
 from parcella.operators import checks, jobs
-from parcella.sources.binary import count_records, read_ply, read_sparse, write_ply, write_sparse
+from parcella.sources.binary import count_records, merge_ply, ply_header, read_ply, read_sparse, write_ply, write_sparse
 
 
 def test_cameras_of_every_model_round_trip(spark, tmp_path):
@@ -44,6 +44,29 @@ def test_the_last_of_repeated_records_counts_and_short_files_fail(spark, tmp_pat
         read_sparse(spark, str(path), "cameras").collect()
 
 
+def vertex_file(path, values, kind="uchar", note="one"):
+    head = f"ply\nformat binary_little_endian 1.0\ncomment {note}\nelement vertex {len(values)}\nproperty float x\nproperty {kind} red\nend_header\n"
+    path.write_bytes(head.encode() + b"".join(struct.pack("<fB" if kind == "uchar" else "<fb", *v) for v in values))
+    return str(path)
+
+
+def test_files_of_vertices_merge_in_order_with_their_types(spark, tmp_path):
+    rows = [[(k + b / 4, 250 - k) for k in range(n)] for b, n in enumerate((9, 0, 5))]
+    parts = [vertex_file(tmp_path / f"{k}.ply", r, note=f"made by {k}") for k, r in enumerate(rows)]
+    out = str(tmp_path / "all.ply")
+    merge_ply(spark, parts, out, rows=4)
+    assert ply_header(out).properties == [("x", "float"), ("red", "uchar")]
+    assert [(r["x"], r["red"]) for r in read_ply(spark, out).orderBy("row_no").collect()] == sum(rows, [])
+    assert (tmp_path / "all.ply").read_bytes().endswith(b"".join(struct.pack("<fB", *v) for v in sum(rows, [])))
+    merge_ply(spark, [parts[1]], str(tmp_path / "none.ply"))
+    assert ply_header(str(tmp_path / "none.ply")).vertices == 0
+    other = vertex_file(tmp_path / "other.ply", [(1.0, 1)], kind="char")
+    for bad in ([], [*parts, other]):
+        with pytest.raises(ValueError):
+            merge_ply(spark, bad, str(tmp_path / "bad.ply"))
+    assert not (tmp_path / "bad.ply").exists()
+
+
 def test_ply_round_trips_in_order_and_rejects_other_files(spark, tmp_path):
     df = spark.createDataFrame([(k, float(-k), float(k) / 4) for k in range(50)], "n int, x double, y float").repartition(5)
     path = str(tmp_path / "v.ply")
