@@ -8,11 +8,15 @@ import os
 import shutil
 import uuid
 from collections.abc import Callable
+from dataclasses import asdict
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from parcella.functions.geometry import Frame
+from parcella.operators.frames import Diagnostics
+
 #: Versions of the artifacts, and what a manifest must have: fixed values of the format.
 MANIFEST, INDEX, JOBS, RECEIPT = 2, 1, 1, 1
 REQUIRED = ("schema", "block_id", "run_id", "ground_frame", "core", "context", "camera_indices", "frame_span", "provenance", "source")
@@ -26,6 +30,25 @@ MANIFEST_SCHEMA = (
 INDEX_SCHEMA = "schema int, blocks array<struct<block_id: int, directory: string, camera_count: int>>"
 JOBS_SCHEMA = "schema int, jobs array<struct<job_id: string, block_id: int, camera_count: int, max_cap: int, data_path: string, output_path: string, argv: array<string>>>"
 
+#: The diagnostics file: its name and version, the poses that it is tied to, and its fields in the order of Diagnostics. Fixed values of the format.
+DIAGNOSTICS_NAME, DIAGNOSTICS, IMAGES = "large_scene_trajectory_diagnostics.json", 1, os.path.join("sparse", "0", "images.bin")
+DIAGNOSTIC_FIELDS = (
+    "estimator_used",
+    "normal_orientation",
+    "orientation_dispersion_deg",
+    "normal_pca",
+    "pca_condition_ratio",
+    "pca_degenerate",
+    "agreement_deg",
+    "height_residual_rms",
+    "height_residual_max",
+    "trajectory_arc_length",
+    "median_inter_frame_spacing",
+    "extent_ground",
+    "n_cameras",
+    "warnings",
+)
+
 
 def now() -> str:
     return datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
@@ -109,6 +132,36 @@ def read_jobs(spark: SparkSession, path: str) -> DataFrame:
     return rows.orderBy("block_id", "job_id")
 
 
+def save_diagnostics(root: str, frame: Frame, diagnostics: Diagnostics) -> str:
+    """The fitted frame and what its fit says, tied to the poses under root by their digest."""
+    names = dict(zip(Diagnostics.__dataclass_fields__, DIAGNOSTIC_FIELDS))
+    ground = {"version": 1, "R": [[float(x) for x in r] for r in frame.rows], "origin": [float(x) for x in frame.origin]}
+    target = os.path.join(root, DIAGNOSTICS_NAME)
+    plane = {names[k]: v for k, v in asdict(diagnostics).items()}
+    save_json(target, {"schema": DIAGNOSTICS, "source": {"images_sha256": sha256_file(os.path.join(root, IMAGES))}, "ground_frame": ground, "plane_diagnostics": plane})
+    return target
+
+
+def load_diagnostics(root: str) -> tuple[Frame, Diagnostics]:
+    """What save_diagnostics has written. Other schemas, missing fields and poses that have changed since are errors."""
+    target = os.path.join(root, DIAGNOSTICS_NAME)
+    with open(target, encoding="utf-8") as f:
+        known = json.load(f)
+    if not isinstance(known, dict) or known.get("schema") != DIAGNOSTICS:
+        raise ValueError(f"{target} has another schema than {DIAGNOSTICS}")
+    try:
+        ground, plane, digest = known["ground_frame"], known["plane_diagnostics"], known["source"]["images_sha256"]
+        frame = Frame([[float(x) for x in r] for r in ground["R"]], [float(x) for x in ground["origin"]])
+        diagnostics = Diagnostics(*(plane[k] for k in DIAGNOSTIC_FIELDS))
+    except (KeyError, TypeError) as e:
+        raise ValueError(f"{target} is malformed: {e}") from e
+    if [len(r) for r in frame.rows] != [3, 3, 3] or len(frame.origin) != 3:
+        raise ValueError(f"{target} is malformed: the frame isn't one of three axes")
+    if digest != sha256_file(os.path.join(root, IMAGES)):
+        raise ValueError(f"{target} does not match {IMAGES}: the poses have changed since")
+    return frame, diagnostics
+
+
 def save_jobs(path: str, jobs: DataFrame) -> None:
     rows = [r.asDict() for r in jobs.orderBy("block_id", "job_id").collect()]  # a row per block
     save_json(path, {"schema": JOBS, "jobs": rows})

@@ -6,6 +6,8 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from parcella.functions.geometry import Frame
+from parcella.operators.frames import Diagnostics
 from parcella.sources import artifacts
 from parcella.streaming import queue
 
@@ -65,6 +67,26 @@ def test_json_has_no_nan_and_receipts_compare(tmp_path):
     assert not artifacts.receipt_matches(str(tmp_path / "none"), block_id=3)
 
 
+def test_diagnostics_are_tied_to_the_poses(tmp_path):
+    root, poses = str(tmp_path), tmp_path / artifacts.IMAGES
+    poses.parent.mkdir(parents=True)
+    poses.write_bytes(b"poses")
+    frame = Frame([[1.0, 0.0, 0.0], [0.0, 0.0, 1.0], [0.0, -1.0, 0.0]], [0.1, 2.0, -3.0])
+    said = Diagnostics("pca", [0.0, 1.0, 0.0], 2.5, [0.0, 0.8, 0.6], 12.0, False, None, 0.2, 0.7, 90.0, 0.5, [40.0, 30.0, 1.0], 180, ["a warning"])
+    path = artifacts.save_diagnostics(root, frame, said)
+    back, known = artifacts.load_diagnostics(root)
+    assert (back.rows, back.origin, known) == (frame.rows, frame.origin, said)
+    whole = json.load(open(path))
+    assert whole["plane_diagnostics"]["n_cameras"] == 180 and whole["plane_diagnostics"]["agreement_deg"] is None
+    poses.write_bytes(b"other poses")
+    with pytest.raises(ValueError, match="have changed"):
+        artifacts.load_diagnostics(root)
+    for change, said_of in (({"schema": 2}, "schema"), ({"plane_diagnostics": {}}, "malformed"), ({"ground_frame": {"R": [[1.0]], "origin": []}}, "malformed")):
+        artifacts.save_json(path, whole | change)
+        with pytest.raises(ValueError, match=said_of):
+            artifacts.load_diagnostics(root)
+
+
 def test_unsafe_directories_are_errors(spark, tmp_path):
     (tmp_path / "index.json").write_text(json.dumps({"schema": 1, "blocks": [{"block_id": 0, "directory": "../x", "camera_count": 1}]}))
     with pytest.raises(Exception, match="unsafe directory"):
