@@ -466,6 +466,21 @@ def ply_roundtrip(t: Tables) -> DataFrame:
     return read_ply(t.spark, path, rows=400).select("row_no", "splat_id", "x", "y", "z", "label")
 
 
+@query
+def merge_ply(t: Tables) -> DataFrame:
+    """Splats on either side of a plane, written as a file each, merged to one file in the order of the sides, and read again."""
+    from parcella.sources.binary import merge_ply as merged
+    from parcella.sources.binary import read_ply, write_ply
+
+    splats = t.splats.select("splat_id", "x", "y", "z", "label").withColumn("splat_id", F.col("splat_id").cast("int"))
+    sides = {_local(t, "low.ply"): F.col("x") < 0, _local(t, "high.ply"): F.col("x") >= 0}
+    for part, side in sides.items():
+        write_ply(splats.where(side), part, "splat_id")
+    path = _local(t, "merged.ply")
+    merged(t.spark, list(sides), path)
+    return read_ply(t.spark, path).select("row_no", "splat_id", "x", "y", "z", "label")
+
+
 @query
 def sparse_roundtrip(t: Tables) -> DataFrame:
     """Points with their tracks, written as a binary and read again."""

@@ -260,4 +260,5 @@ SELECT s.group_id - CASE WHEN s.last AND j.yes THEN 1 ELSE 0 END AS group_id, su
     "sparse_roundtrip": """SELECT p_partkey AS point3d_id, round(p_partkey * 0.075::DOUBLE, 6) AS x, round(p_size::DOUBLE, 6) AS y, round(p_size * 0.01::DOUBLE, 6) AS z, count(*) AS entries, sum(l_orderkey)::BIGINT AS image_sum
 FROM part JOIN lineitem ON l_partkey = p_partkey GROUP BY ALL""",
     "ply_roundtrip": """SELECT row_number() OVER (ORDER BY vec_id) - 1 AS row_no, vec_id::INT AS splat_id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, embedding[3]::DOUBLE AS z, label FROM embeddings""",
+    "merge_ply": """SELECT row_number() OVER (ORDER BY embedding[1]::DOUBLE >= 0, vec_id) - 1 AS row_no, vec_id::INT AS splat_id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, embedding[3]::DOUBLE AS z, label FROM embeddings""",
 }
