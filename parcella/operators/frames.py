@@ -65,6 +65,20 @@ def moments(poses: DataFrame) -> DataFrame:
     return poses.agg(F.count("*").alias("n"), *(F.avg(c).alias(f"c{c}") for c in names), *(F.covar_pop(a, b).alias(a + b) for i, a in enumerate(names) for b in names[i:]))
 
 
+def variances(moments: DataFrame) -> DataFrame:
+    """(largest, middle, smallest) eigenvalues of the covariance of moments. Their error is that of the largest one's last
+    digits; that of the cubic's closed form is the root of that, so that it returns negative variances for wide scenes."""
+
+    def values(*parts: float | None) -> list[float] | None:
+        if None in parts:
+            return None
+        xx, xy, xz, yy, yz, zz = parts
+        return np.linalg.eigvalsh(np.array([[xx, xy, xz], [xy, yy, yz], [xz, yz, zz]])).tolist()
+
+    found = moments.select(F.udf(values, "array<double>")("xx", "xy", "xz", "yy", "yz", "zz").alias("v"))
+    return found.select(*(F.col("v")[k].alias(c) for k, c in ((2, "largest"), (1, "middle"), (0, "smallest"))))
+
+
 def path_lengths(poses: DataFrame) -> DataFrame:
     """Arc length and median distance of consecutive centres in the order of names."""
     places = with_previous(numbered(poses.select("name", "x", "y", "z"), "name"), "position", {"px": "x", "py": "y", "pz": "z"})

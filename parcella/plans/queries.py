@@ -77,20 +77,8 @@ def centre_moments(t: Tables) -> DataFrame:
 
 @query
 def pca_condition(t: Tables) -> DataFrame:
-    """Eigenvalues of the centres' covariance, largest first, in closed form."""
-    m = frames.moments(t.images)
-    q = (F.col("xx") + F.col("yy") + F.col("zz")) / 3
-    off = F.col("xy") * F.col("xy") + F.col("xz") * F.col("xz") + F.col("yz") * F.col("yz")
-    s = m.withColumn("q", q).withColumn("p", F.sqrt(((F.col("xx") - F.col("q")) * (F.col("xx") - F.col("q")) + (F.col("yy") - F.col("q")) * (F.col("yy") - F.col("q")) + (F.col("zz") - F.col("q")) * (F.col("zz") - F.col("q")) + 2 * off) / 6))
-    for a in ("xx", "yy", "zz"):
-        s = s.withColumn("b" + a, (F.col(a) - F.col("q")) / F.col("p"))
-    for a in ("xy", "xz", "yz"):
-        s = s.withColumn("b" + a, F.col(a) / F.col("p"))
-    det = F.expr("bxx * (byy * bzz - byz * byz) - bxy * (bxy * bzz - byz * bxz) + bxz * (bxy * byz - byy * bxz)")
-    s = s.withColumn("phi", F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), det / 2))) / 3)
-    big = F.col("q") + 2 * F.col("p") * F.cos("phi")
-    small = F.col("q") + 2 * F.col("p") * F.cos(F.col("phi") + 2.0943951023931953)
-    return s.select(F.round(big, 3).alias("largest"), F.round(3 * F.col("q") - big - small, 3).alias("middle"), F.round(small, 3).alias("smallest"))
+    """Eigenvalues of the centres' covariance, largest first."""
+    return frames.variances(frames.moments(t.images)).select(*(six(F.col(c), 3).alias(c) for c in ("largest", "middle", "smallest")))
 
 
 @query
