@@ -11,13 +11,14 @@ Native DataFrame operations throughout:
    order of their bucket's count, rarest first. The join is exact under any fixed order; a good one makes it cheap.
 2. Lines with equal words in equal order are one node, named by a hash. Nodes may share a name: every pair is verified
    on words, so that costs time at most.
-3. Two lines of similarity t share a token among the first n - ceil(t n) + 1 of each. Nodes meet by such prefix tokens;
+3. Two lines of similarity t share a token among the first n - ceil(t n) + 1 of each, of the shorter even among the first
+   n - ceil(2t/(1+t) n) + 1. Nodes meet by such prefix tokens;
    very long lines share SHARED tokens of a prefix that is as much longer. The positional filter bounds the overlap from
    the places of the shared token (which implies the length filter), and
    parity bits of the token sets (128 for lines of over LONG words) bound their difference.
 4. Jaccard is verified on 64-bit hashes of the words. A node's likeliest partner, by shared prefix tokens, comes first; only nodes that it
    doesn't decide have their other partners verified.
-Tokens that more than GROUP nodes share, or whose bucket is WARM times as full as the mean, don't emit pairs: their nodes
+Tokens that would make more than GROUP * GROUP pairs, or whose bucket is WARM times as full as the mean, don't emit pairs: their nodes
 are first held against the token's LEADERS earliest. In a group of near copies this decides nearly all, and only the
 undecided meet the rest. No task gathers a token's nodes for that.
 
@@ -29,19 +30,18 @@ with them. A table of no rows gives none.
 
 from __future__ import annotations
 
-import math
-
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from parcella.llm.common import stored
+from parcella.llm.common import passing, stored
 
 THRESHOLD, MIN_WORDS = 0.8, 1
 #: Entries of the table of word counts by hash bucket, and of tables of hashes of the rows that take part in a join.
-RARITY, INVOLVED = 1 << 16, 1 << 18
+RARITY, INVOLVED = 1 << 18, 1 << 18
 #: Bits of a token's hash below its bucket's size class.
 HASH = 54
-GROUP, WARM, LEADERS = 512, 16, 8
+GROUP, WARM, LEADERS = 512, 64, 8
 #: Lines of more words have 64 parity bits more. Pairs of lines of more than VERY_LONG share SHARED prefix tokens at least.
 LONG, VERY_LONG, SHARED = 64, 128, 3
 #: Bytes of removed lines' numbers up to which they are sent to the documents; more meet them in a shuffled join.
@@ -54,10 +54,10 @@ def _bit(place: Column) -> Column:
 
 def prepared(text: Column) -> Column:
     """Lower case, and blanks for the other spaces within a line."""
-    out = F.lower(text)
+    out, some = text, F.lit(False)
     for space in "\t\x0b\x0c\r":
-        out = F.replace(out, F.lit(space), F.lit(" "))
-    return out
+        out, some = F.replace(out, F.lit(space), F.lit(" ")), some | F.contains(text, F.lit(space))
+    return F.when(some, F.lower(out)).otherwise(F.lower(text))  # looking for a space is much cheaper than replacing none
 
 
 def name(line: Column) -> tuple[Column, Column]:
@@ -73,15 +73,17 @@ def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def rarity(docs: DataFrame, text_col: str) -> tuple[Column, int]:
-    """For every bucket of word hashes a class (an array literal): six times the logarithm of its words' count over all texts,
-    from -128 on; and the class from which a bucket is WARM times as full as the mean."""
+    """For every bucket of word hashes a class (an array literal): thrice the logarithm of its words' count over all texts;
+    and the class from which a bucket is WARM times as full as the mean."""
     words = docs.select(F.explode(F.split(F.replace(prepared(F.col(text_col)), F.lit("\n"), F.lit(" ")), " ", -1)).alias("w"))
-    counts = words.groupBy(F.xxhash64("w").bitwiseAND(F.lit(RARITY - 1)).alias("b")).agg(F.count("*").alias("c")).collect()  # RARITY rows at most
-    of = lambda c: min(127, math.ceil(6 * math.log2(c + 1)) - 128)
-    table = ["-128"] * RARITY
-    for r in counts:
-        table[r["b"]] = str(of(r["c"]))
-    return F.split(F.lit(",".join(table)), ",").cast("array<tinyint>"), of(WARM * sum(r["c"] for r in counts) / RARITY)
+    # four counts a row keep the rows within the 2^16 of the fast table of generated code
+    part = lambda k: F.count(F.when(F.shiftright("h", 16).bitwiseAND(F.lit(3)) == k, 1)).alias(f"c{k}")
+    counts = words.select(F.xxhash64("w").bitwiseAND(F.lit(RARITY - 1)).alias("h")).groupBy(F.col("h").bitwiseAND(F.lit(RARITY // 4 - 1)).alias("b")).agg(*map(part, range(4))).toArrow()
+    table = np.zeros((4, RARITY // 4), int)
+    for k in range(4):
+        table[k, counts["b"].to_numpy()] = counts[f"c{k}"].to_numpy()
+    of = lambda c: np.minimum(99, np.ceil(3 * np.log2(c + 1))).astype(int)
+    return F.split(F.lit(",".join(map(str, of(table).ravel().tolist()))), ",").cast("array<tinyint>"), int(of(WARM * table.sum() / RARITY))
 
 
 def _shared(n: Column) -> Column:
@@ -89,27 +91,29 @@ def _shared(n: Column) -> Column:
     return F.when(n > VERY_LONG, SHARED).otherwise(1)
 
 
-def nodes(docs: DataFrame, classes: Column, threshold: float, min_words: int, id_col: str, text_col: str) -> DataFrame:
+def nodes(docs: DataFrame, classes: Column | None, threshold: float, min_words: int, id_col: str, text_col: str) -> DataFrame:
     """(h1, n, prefix, bits, more): of each different line its name, size, prefix tokens in order of rarity, and parity bits."""
 
     def key(h: Column) -> Column:
-        of = F.coalesce(F.get(classes, h.bitwiseAND(F.lit(RARITY - 1)).cast("int")), F.lit(0)).cast("long")
-        return F.shiftleft(of, HASH).bitwiseOR(F.shiftrightunsigned(h, 64 - HASH))  # negative classes stay below others
+        if classes is None:
+            return h
+        of = F.get(classes, h.bitwiseAND(F.lit(RARITY - 1)).cast("int")).cast("long")
+        return F.shiftleft(of, HASH).bitwiseOR(F.shiftrightunsigned(h, 64 - HASH))
 
-    def parity(keys: Column, from_bit: int) -> Column:
-        return F.aggregate(keys, F.lit(0).cast("long"), lambda a, k: a.bitwiseXOR(_bit(F.shiftrightunsigned(k, from_bit).bitwiseAND(F.lit(63)))))
+    def parity(keys: Column) -> Column:
+        return F.aggregate(keys, F.lit(0).cast("long"), lambda a, k: a.bitwiseXOR(_bit(k.bitwiseAND(F.lit(63)))))
 
     def shape(keys: Column) -> Column:
         """Everything that is told of a line's keys, which are computed once."""
         n = F.size(keys)
         size = (n - F.ceil(n * threshold - 1e-9) + _shared(n)).cast("int")
         # of a long line either half tells about half the words
-        side = lambda odd: F.filter(keys, lambda k: k.bitwiseAND(F.lit(1)) == odd)
-        bits, more = F.when(n > LONG, parity(side(0), 1)).otherwise(parity(keys, 1)), F.when(n > LONG, parity(side(1), 1)).otherwise(F.lit(0))
+        side = lambda odd: F.filter(keys, lambda k: k.bitwiseAND(F.lit(64)) == odd)
+        bits, more = F.when(n > LONG, parity(side(0))).otherwise(parity(keys)), F.when(n > LONG, parity(side(64))).otherwise(F.lit(0))
         return F.struct(n.alias("n"), F.slice(keys, 1, size).alias("prefix"), F.coalesce(bits, F.lit(0)).alias("bits"), F.coalesce(more, F.lit(0)).alias("more"))
 
-    hashes = F.array_remove(F.transform(F.split("line", " ", -1), lambda w: F.xxhash64(w)), F.xxhash64(F.lit("")))
-    keys = F.array_distinct(F.sort_array(F.transform(hashes, key)))
+    keys = F.array_remove(F.transform(F.split("line", " ", -1), lambda w: key(F.xxhash64(w))), key(F.xxhash64(F.lit(""))))
+    keys = F.array_distinct(F.sort_array(keys))
     rows = lines_of(docs, id_col, text_col).select("h1", F.inline(F.transform(F.array(keys), shape)))
     return rows.where(F.col("n") >= min_words).distinct()
 
@@ -133,13 +137,17 @@ def candidates(docs: DataFrame, threshold: float, min_words: int, id_col: str, t
     # what a join would infer is said here, so that all uses below share one shuffle
     tokens = tokens.select("token", "h1", "n", (F.col("n") - F.col("pos")).alias("left"), "bits", "more").where("token is not null and left is not null")
     warm = F.shiftright("token", HASH) >= hot
-    dealt = tokens.where(~warm)
-    counted = dealt.withColumn("rows", F.count("*").over(Window.partitionBy("token")))
-    some = counted.where((F.col("rows") > 1) & (F.col("rows") <= GROUP)).drop("rows")
-    met = some.alias("x").join(dealt.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.h1") < F.col("y.h1")) & _fits("x", "y", threshold))
+    dealt = tokens.where(~warm).repartition("token")
+    # what _fits asks of the shorter line, y, whatever the other; as the optimizer can't move it, both sides share one shuffle
+    early = F.col("left") >= F.col("n") * (2 * threshold / (1 + threshold)) - 1e-9 - (_shared(F.col("n")) - 1)
+    by_token = Window.partitionBy("token")
+    counted = dealt.withColumn("rows", F.count("*").over(by_token)).withColumn("made", F.col("rows") * F.count(F.when(early, 1)).over(by_token))
+    some = counted.where((F.col("rows") > 1) & F.col("made").between(1, GROUP * GROUP))
+    longer = (F.col("x.n") > F.col("y.n")) & (F.col("x.h1") != F.col("y.h1")) | (F.col("x.n") == F.col("y.n")) & (F.col("x.h1") < F.col("y.h1"))
+    met = some.alias("x").join(dealt.where(F.when(F.spark_partition_id() >= 0, early)).alias("y"), (F.col("x.token") == F.col("y.token")) & longer & _fits("x", "y", threshold))
     none = lambda kind: F.lit(None).cast(kind)
-    pairs = met.select(none("long").alias("token"), F.col("x.h1").alias("a"), F.col("y.h1").alias("b"), F.least("x.n", "y.n").alias("n"), none("int").alias("left"), none("long").alias("bits"), none("long").alias("more"))
-    many = counted.where(F.col("rows") > GROUP).drop("rows").unionByName(tokens.where(warm))
+    pairs = met.select(none("long").alias("token"), F.least("x.h1", "y.h1").alias("a"), F.greatest("x.h1", "y.h1").alias("b"), F.col("y.n"), none("int").alias("left"), none("long").alias("bits"), none("long").alias("more"))
+    many = counted.where(F.col("made") > GROUP * GROUP).drop("rows", "made").unionByName(tokens.where(warm))
     return pairs.unionByName(many.select("token", F.col("h1").alias("a"), none("long").alias("b"), "n", "left", "bits", "more"))
 
 
@@ -223,7 +231,7 @@ def later_matches(docs: DataFrame, threshold: float = THRESHOLD, min_words: int
         near = _later(pairs.unionByName(_paired(leaders, placed, threshold)), ends, threshold)
         near = near.unionByName(_later(_undecided(placed, leaders, ends, near, threshold), ends, threshold))
     if min_words > 1:
-        few = nodes(docs, F.lit(None).cast("array<tinyint>"), threshold, 1, id_col, text_col).where(F.col("n") < min_words).select("h1")
+        few = nodes(docs, None, threshold, 1, id_col, text_col).where(F.col("n") < min_words).select("h1")
         lines = lines.join(few, "h1", "left_anti")
     classes = lines.groupBy("h1", "h2").agg(F.min(F.struct("id", "line_no")).alias("at"), F.count("*").alias("rows"))
     decided = classes.join(near.distinct().withColumn("near", F.lit(True)), ["h1", "h2"], "left").where("rows > 1 or near").select("h1", "h2", "at", F.coalesce("near", F.lit(False)).alias("near"))
@@ -234,8 +242,9 @@ def later_matches(docs: DataFrame, threshold: float = THRESHOLD, min_words: int
 
 def dedup(docs: DataFrame, threshold: float = THRESHOLD, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text", removed_col: str | None = None) -> DataFrame:
     """docs without later matches among the lines of text_col; removed_col, if named, counts the lines removed."""
-    gone = later_matches(docs, threshold, min_words, id_col, text_col).groupBy(F.col("id").alias("__id"), F.col("text_hash").alias("__hash")).agg(F.collect_set("line_no").alias("__gone"))
-    gone = stored(gone, "linegone")
+    with passing(docs.sparkSession):
+        gone = later_matches(docs, threshold, min_words, id_col, text_col).groupBy(F.col("id").alias("__id"), F.col("text_hash").alias("__hash")).agg(F.collect_set("line_no").alias("__gone"))
+        gone = stored(gone, "linegone", keep=True)
     # as rows of a hash table: a header, both keys and the numbers
     size = gone.agg(F.sum(64 + 4 * F.size("__gone").cast("long"))).first()[0] or 0
     hashed = docs.withColumn("__text", F.xxhash64(text_col))

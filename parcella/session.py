@@ -7,6 +7,8 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -43,9 +45,34 @@ def shared_path(spark: SparkSession, label: str) -> str:
     return path
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """df, written as a Parquet table in the shared folder and read again."""
+#: Paths of the tables that stored() has written within passing(); nothing is held outside of it.
+_held: list[list[str]] = []
+#: Removes a write's shuffle files when it ends, not when the driver happens to collect its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def stored(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
+    """df, written as a Parquet table in the shared folder and read again; keep: it outlives passing()."""
     spark = df.sparkSession
     path = shared_path(spark, label)
-    df.write.parquet(path)
+    if _held and not keep:
+        _held[-1].append(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[None]:
+    """What stored() writes meanwhile is deleted at the end, unless it is to be kept."""
+    _held.append([])
+    try:
+        yield
+    finally:
+        for path in _held.pop():
+            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
