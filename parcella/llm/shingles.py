@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parcella.llm.common import stored, with_arrow_batches
+from parcella.llm.common import passing, stored, with_arrow_batches
 from parcella.llm.components import components
 from parcella.llm.linededup import _marked
 from parcella.llm.simhash import links, majority
@@ -81,11 +81,10 @@ def rarity(docs: DataFrame, words: int, text_col: str) -> np.ndarray:
         some = np.nonzero(counts)[0]
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[some])], names=["b", "c"])
 
-    counts = docs.select(text_col).mapInArrow(run, "b long, c long").groupBy("b").agg(F.sum("c").alias("c")).collect()  # RARITY rows at most
-    usual = 2 * max(1.0, sum(r["c"] for r in counts) / RARITY)
+    counts = docs.select(text_col).mapInArrow(run, "b long, c long").groupBy("b").agg(F.sum("c").alias("c")).toArrow()  # RARITY rows at most
+    b, c = counts["b"].to_numpy(), counts["c"].to_numpy()
     classes = np.zeros(RARITY, np.uint8)
-    for r in counts:
-        classes[r["b"]] = min(120, max(0, math.ceil(2 * math.log2(r["c"] / usual))))
+    classes[b] = np.clip(np.ceil(2 * np.log2(c / (2 * max(1.0, c.sum() / RARITY)))), 0, 120)
     return classes
 
 
@@ -127,10 +126,10 @@ def keyed(docs: DataFrame, threshold: float, words: int, id_col: str, text_col:
 
 
 def _fits(x: Column, y: Column, threshold: float) -> Column:
-    """Whether two sets that share a prefix shingle may be similar enough, by their sizes and its positions."""
+    """Whether two sets may be similar enough whose first shared shingle this is, by their sizes and its positions: all that
+    they share is from there on. Sets that share others before it meet by the first of them."""
     need = F.ceil((x["n"] + y["n"]) * (threshold / (1 + threshold)) - 1e-9)
-    left = F.least(x["n"] - x["pos"], y["n"] - y["pos"])
-    return (F.least(x["n"], y["n"]) >= F.greatest(x["n"], y["n"]) * threshold - 1e-9) & (F.least(x["pos"], y["pos"]) + left >= need)
+    return (F.least(x["n"], y["n"]) >= F.greatest(x["n"], y["n"]) * threshold - 1e-9) & (F.least(x["n"] - x["pos"], y["n"] - y["pos"]) >= need)
 
 
 def _may(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
@@ -197,12 +196,13 @@ def near_copies(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORD
 
 def one_of_each(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Of each group the row of smallest id, null after others; of several such rows that with the least hash, once."""
-    rows = near_copies(docs, threshold, words, id_col, text_col)
-    alike = rows.groupBy("group", "id", "r1", "r2").agg(F.count("*").alias("copies"))
-    place = lambda: F.struct(F.col("id").isNull().alias("none"), "id", "r1", "r2")
-    first = alike.groupBy("group").agg(F.min(place()).alias("first"))
-    decided = alike.join(first, "group").select(F.col("r1").alias("__r1"), F.col("r2").alias("__r2"), place().eqNullSafe(F.col("first")).alias("__first"), "copies")
-    special = stored(decided.where("not __first or copies > 1").drop("copies"), "shinglegone")
+    with passing(docs.sparkSession):
+        rows = near_copies(docs, threshold, words, id_col, text_col)
+        alike = rows.groupBy("group", "id", "r1", "r2").agg(F.count("*").alias("copies"))
+        place = lambda: F.struct(F.col("id").isNull().alias("none"), "id", "r1", "r2")
+        first = alike.groupBy("group").agg(F.min(place()).alias("first"))
+        decided = alike.join(first, "group").select(F.col("r1").alias("__r1"), F.col("r2").alias("__r2"), place().eqNullSafe(F.col("first")).alias("__first"), "copies")
+        special = stored(decided.where("not __first or copies > 1").drop("copies"), "shinglegone", keep=True)
     marked = _marked(_named(docs), special, "__r1")
     some = marked.where("__may").join(special, ["__r1", "__r2"], "left")
     columns = [F.col(f"`{c}`") for c in docs.columns]
