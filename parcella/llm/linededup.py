@@ -73,8 +73,9 @@ def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def rarity(docs: DataFrame, text_col: str) -> tuple[Column, int]:
-    """For every bucket of word hashes a class (an array literal): thrice the logarithm of its words' count over all texts;
-    and the class from which a bucket is WARM times as full as the mean."""
+    """For every bucket of word hashes a class from 0 to 15, the logarithm of its words' count over all texts to that of a
+    sixteenth of the mean, in an array literal of sixteen classes each (see class_of): plans are kept as strings, literals
+    included. And the class from which a bucket is WARM times as full as the mean."""
     words = docs.select(F.explode(F.split(F.replace(prepared(F.col(text_col)), F.lit("\n"), F.lit(" ")), " ", -1)).alias("w"))
     # four counts a row keep the rows within the 2^16 of the fast table of generated code
     part = lambda k: F.count(F.when(F.shiftright("h", 16).bitwiseAND(F.lit(3)) == k, 1)).alias(f"c{k}")
@@ -82,8 +83,16 @@ def rarity(docs: DataFrame, text_col: str) -> tuple[Column, int]:
     table = np.zeros((4, RARITY // 4), int)
     for k in range(4):
         table[k, counts["b"].to_numpy()] = counts[f"c{k}"].to_numpy()
-    of = lambda c: np.minimum(99, np.ceil(3 * np.log2(c + 1))).astype(int)
-    return F.split(F.lit(",".join(map(str, of(table).ravel().tolist()))), ",").cast("array<tinyint>"), int(of(WARM * table.sum() / RARITY))
+    mean = max(1.0, table.sum() / RARITY)
+    of = lambda c: np.clip(np.ceil(np.log2(16 * (c + 1) / mean)), 0, 15).astype(np.int64)
+    packed = np.bitwise_or.reduce(of(table).reshape(-1, 16) << np.arange(0, 64, 4), axis=1)
+    return F.split(F.lit(",".join(map(str, packed.tolist()))), ",").cast("array<bigint>"), int(of(WARM * mean))
+
+
+def class_of(classes: Column, h: Column) -> Column:
+    """The class of the bucket of a word's hash."""
+    place = F.shiftleft(h.bitwiseAND(F.lit(15)).cast("int"), 2)
+    return F.call_function("shiftrightunsigned", F.get(classes, F.shiftrightunsigned(h.bitwiseAND(F.lit(RARITY - 1)), 4).cast("int")), place).bitwiseAND(F.lit(15))
 
 
 def _shared(n: Column) -> Column:
@@ -97,8 +106,7 @@ def nodes(docs: DataFrame, classes: Column | None, threshold: float, min_words:
     def key(h: Column) -> Column:
         if classes is None:
             return h
-        of = F.get(classes, h.bitwiseAND(F.lit(RARITY - 1)).cast("int")).cast("long")
-        return F.shiftleft(of, HASH).bitwiseOR(F.shiftrightunsigned(h, 64 - HASH))
+        return F.shiftleft(class_of(classes, h), HASH).bitwiseOR(F.shiftrightunsigned(h, 64 - HASH))
 
     def parity(keys: Column) -> Column:
         return F.aggregate(keys, F.lit(0).cast("long"), lambda a, k: a.bitwiseXOR(_bit(k.bitwiseAND(F.lit(63)))))
