@@ -7,7 +7,7 @@ or more. What is removed again matches lines after it, so the decision about a l
 and not on any order of work.
 
 Native DataFrame operations throughout:
-1. Words are counted by hash bucket (a table of RARITY entries, whatever the corpus), and every line's tokens are put in
+1. Words are counted by hash bucket (a table of RARITY entries, whatever the corpus, that plans refer to as a subquery), and every line's tokens are put in
    order of their bucket's count, rarest first. The join is exact under any fixed order; a good one makes it cheap.
 2. Lines with equal words in equal order are one node, named by a hash. Nodes may share a name: every pair is verified
    on words, so that costs time at most.
@@ -30,8 +30,12 @@ with them. A table of no rows gives none.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from parcella.llm.common import passing, stored
@@ -44,6 +48,7 @@ HASH = 54
 GROUP, WARM, LEADERS = 512, 64, 8
 #: Lines of more words have 64 parity bits more. Pairs of lines of more than VERY_LONG share SHARED prefix tokens at least.
 LONG, VERY_LONG, SHARED = 64, 128, 3
+IN_LAMBDAS = "spark.sql.analyzer.allowSubqueryExpressionsInLambdasOrHigherOrderFunctions"
 #: Bytes of removed lines' numbers up to which they are sent to the documents; more meet them in a shuffled join.
 SENT = 64 << 20
 
@@ -72,10 +77,11 @@ def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.where(F.trim("line") != "").select("*", *name(F.col("line")))
 
 
-def rarity(docs: DataFrame, text_col: str) -> tuple[Column, int]:
+def rarity(docs: DataFrame, text_col: str) -> tuple[Column, tuple[int, int]]:
     """For every bucket of word hashes a class from 0 to 15, the logarithm of its words' count over all texts to that of a
-    sixteenth of the mean, in an array literal of sixteen classes each (see class_of): plans are kept as strings, literals
-    included. And the class from which a bucket is WARM times as full as the mean."""
+    sixteenth of the mean, as a scalar subquery of an array (see class_of): plans are kept as strings, literals included, but
+    the value of a subquery isn't. And the classes from which a bucket is WARM times as full as the mean, and from which it
+    may have more than GROUP words."""
     words = docs.select(F.explode(F.split(F.replace(prepared(F.col(text_col)), F.lit("\n"), F.lit(" ")), " ", -1)).alias("w"))
     # four counts a row keep the rows within the 2^16 of the fast table of generated code
     part = lambda k: F.count(F.when(F.shiftright("h", 16).bitwiseAND(F.lit(3)) == k, 1)).alias(f"c{k}")
@@ -84,15 +90,25 @@ def rarity(docs: DataFrame, text_col: str) -> tuple[Column, int]:
     for k in range(4):
         table[k, counts["b"].to_numpy()] = counts[f"c{k}"].to_numpy()
     mean = max(1.0, table.sum() / RARITY)
-    of = lambda c: np.clip(np.ceil(np.log2(16 * (c + 1) / mean)), 0, 15).astype(np.int64)
-    packed = np.bitwise_or.reduce(of(table).reshape(-1, 16) << np.arange(0, 64, 4), axis=1)
-    return F.split(F.lit(",".join(map(str, packed.tolist()))), ",").cast("array<bigint>"), int(of(WARM * mean))
+    of = lambda c: np.clip(np.ceil(np.log2(16 * (c + 1) / mean)), 0, 15).astype(np.int8)
+    classes = docs.sparkSession.createDataFrame(pa.table({"classes": pa.array([of(table).ravel()], pa.list_(pa.int8()))}), "classes array<tinyint>")
+    return stored(classes, "lineclasses").scalar(), (int(of(WARM * mean)), int(of(GROUP)))
 
 
 def class_of(classes: Column, h: Column) -> Column:
-    """The class of the bucket of a word's hash."""
-    place = F.shiftleft(h.bitwiseAND(F.lit(15)).cast("int"), 2)
-    return F.call_function("shiftrightunsigned", F.get(classes, F.shiftrightunsigned(h.bitwiseAND(F.lit(RARITY - 1)), 4).cast("int")), place).bitwiseAND(F.lit(15))
+    """The class of the bucket of a word's hash. Not null, so that arrays of keys are sorted as plain numbers."""
+    return F.coalesce(F.get(classes, h.bitwiseAND(F.lit(RARITY - 1)).cast("int")), F.lit(0).cast("tinyint"))
+
+
+@contextmanager
+def _subqueries_in_lambdas(spark: SparkSession) -> Iterator[None]:
+    """Lets lambdas refer to a subquery of no outer columns, which Spark runs before the tasks begin; frames are analysed as they are made."""
+    before = spark.conf.get(IN_LAMBDAS, "false")
+    spark.conf.set(IN_LAMBDAS, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(IN_LAMBDAS, before)
 
 
 def _shared(n: Column) -> Column:
@@ -104,9 +120,7 @@ def nodes(docs: DataFrame, classes: Column | None, threshold: float, min_words:
     """(h1, n, prefix, bits, more): of each different line its name, size, prefix tokens in order of rarity, and parity bits."""
 
     def key(h: Column) -> Column:
-        if classes is None:
-            return h
-        return F.shiftleft(class_of(classes, h), HASH).bitwiseOR(F.shiftrightunsigned(h, 64 - HASH))
+        return F.shiftleft(class_of(classes, h).cast("long"), HASH).bitwiseOR(F.shiftrightunsigned(h, 64 - HASH))
 
     def parity(keys: Column) -> Column:
         return F.aggregate(keys, F.lit(0).cast("long"), lambda a, k: a.bitwiseXOR(_bit(k.bitwiseAND(F.lit(63)))))
@@ -116,14 +130,15 @@ def nodes(docs: DataFrame, classes: Column | None, threshold: float, min_words:
         n = F.size(keys)
         size = (n - F.ceil(n * threshold - 1e-9) + _shared(n)).cast("int")
         # of a long line either half tells about half the words
-        side = lambda odd: F.filter(keys, lambda k: k.bitwiseAND(F.lit(64)) == odd)
-        bits, more = F.when(n > LONG, parity(side(0))).otherwise(parity(keys)), F.when(n > LONG, parity(side(64))).otherwise(F.lit(0))
-        return F.struct(n.alias("n"), F.slice(keys, 1, size).alias("prefix"), F.coalesce(bits, F.lit(0)).alias("bits"), F.coalesce(more, F.lit(0)).alias("more"))
+        more = F.when(n > LONG, parity(F.filter(keys, lambda k: k.bitwiseAND(F.lit(64)) != 0))).otherwise(F.lit(0).cast("long"))
+        return F.struct(n.alias("n"), F.slice(keys, 1, size).alias("prefix"), F.coalesce(parity(keys), F.lit(0)).alias("all"), F.coalesce(more, F.lit(0)).alias("more"))
 
-    keys = F.array_remove(F.transform(F.split("line", " ", -1), lambda w: key(F.xxhash64(w))), key(F.xxhash64(F.lit(""))))
-    keys = F.array_distinct(F.sort_array(keys))
-    rows = lines_of(docs, id_col, text_col).select("h1", F.inline(F.transform(F.array(keys), shape)))
-    return rows.where(F.col("n") >= min_words).distinct()
+    # lambdas aren't compiled: a word is hashed once in one of its own
+    hashes = F.array_remove(F.transform(F.split("line", " ", -1), lambda w: F.xxhash64(w)), F.xxhash64(F.lit("")))
+    with _subqueries_in_lambdas(docs.sparkSession):
+        keys = F.array_distinct(F.sort_array(F.transform(hashes, key) if classes is not None else hashes))
+        rows = lines_of(docs, id_col, text_col).select("h1", F.inline(F.transform(F.array(keys), shape)))
+    return rows.where(F.col("n") >= min_words).select("h1", "n", "prefix", F.col("all").bitwiseXOR(F.col("more")).alias("bits"), "more").distinct()
 
 
 def _fits(a: str, b: str, threshold: float) -> Column:
@@ -139,7 +154,7 @@ def _fits(a: str, b: str, threshold: float) -> Column:
 
 def candidates(docs: DataFrame, threshold: float, min_words: int, id_col: str, text_col: str) -> DataFrame:
     """Pairs of names that share a prefix token and may match (a < b, n of the shorter, no token), and the nodes of tokens that many share (token, a, n, left, bits, more)."""
-    classes, hot = rarity(docs, text_col)
+    classes, (hot, full) = rarity(docs, text_col)
     # an outer explode keeps the optimizer from asking first whether there is a prefix, which would compute it twice
     tokens = nodes(docs, classes, threshold, min_words, id_col, text_col).select(F.posexplode_outer("prefix").alias("pos", "token"), "h1", "n", "bits", "more")
     # what a join would infer is said here, so that all uses below share one shuffle
@@ -149,13 +164,16 @@ def candidates(docs: DataFrame, threshold: float, min_words: int, id_col: str, t
     # what _fits asks of the shorter line, y, whatever the other; as the optimizer can't move it, both sides share one shuffle
     early = F.col("left") >= F.col("n") * (2 * threshold / (1 + threshold)) - 1e-9 - (_shared(F.col("n")) - 1)
     by_token = Window.partitionBy("token")
-    counted = dealt.withColumn("rows", F.count("*").over(by_token)).withColumn("made", F.col("rows") * F.count(F.when(early, 1)).over(by_token))
-    some = counted.where((F.col("rows") > 1) & F.col("made").between(1, GROUP * GROUP))
+    counts = lambda rows: rows.withColumn("rows", F.count("*").over(by_token)).withColumn("made", F.col("rows") * F.count(F.when(early, 1)).over(by_token))
+    counted = counts(dealt)
+    # tokens of a bucket of few words can't make so many pairs; their rows needn't be sorted once more to tell
+    open_ = F.shiftright("token", HASH) >= full
+    some = counted.where((F.col("rows") > 1) & (F.col("made") >= 1) & ((F.col("made") <= GROUP * GROUP) | ~open_))
     longer = (F.col("x.n") > F.col("y.n")) & (F.col("x.h1") != F.col("y.h1")) | (F.col("x.n") == F.col("y.n")) & (F.col("x.h1") < F.col("y.h1"))
     met = some.alias("x").join(dealt.where(F.when(F.spark_partition_id() >= 0, early)).alias("y"), (F.col("x.token") == F.col("y.token")) & longer & _fits("x", "y", threshold))
     none = lambda kind: F.lit(None).cast(kind)
     pairs = met.select(none("long").alias("token"), F.least("x.h1", "y.h1").alias("a"), F.greatest("x.h1", "y.h1").alias("b"), F.col("y.n"), none("int").alias("left"), none("long").alias("bits"), none("long").alias("more"))
-    many = counted.where(F.col("made") > GROUP * GROUP).drop("rows", "made").unionByName(tokens.where(warm))
+    many = counts(dealt.where(F.when(F.spark_partition_id() >= 0, open_))).where(F.col("made") > GROUP * GROUP).drop("rows", "made").unionByName(tokens.where(warm))
     return pairs.unionByName(many.select("token", F.col("h1").alias("a"), none("long").alias("b"), "n", "left", "bits", "more"))
 
 
