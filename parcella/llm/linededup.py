@@ -79,9 +79,9 @@ def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def rarity(docs: DataFrame, text_col: str) -> tuple[Column, tuple[int, int]]:
     """For every bucket of word hashes a class from 0 to 15, the logarithm of its words' count over all texts to that of a
-    sixteenth of the mean, as a scalar subquery of an array (see class_of): plans are kept as strings, literals included, but
-    the value of a subquery isn't. And the classes from which a bucket is WARM times as full as the mean, and from which it
-    may have more than GROUP words."""
+    sixteenth of the mean, shifted to its place in a key, as a scalar subquery of an array (see class_of): plans are kept as
+    strings, literals included, but the value of a subquery isn't. And the classes from which a bucket is WARM times as full
+    as the mean, and from which it may have more than GROUP words."""
     words = docs.select(F.explode(F.split(F.replace(prepared(F.col(text_col)), F.lit("\n"), F.lit(" ")), " ", -1)).alias("w"))
     # four counts a row keep the rows within the 2^16 of the fast table of generated code
     part = lambda k: F.count(F.when(F.shiftright("h", 16).bitwiseAND(F.lit(3)) == k, 1)).alias(f"c{k}")
@@ -91,13 +91,13 @@ def rarity(docs: DataFrame, text_col: str) -> tuple[Column, tuple[int, int]]:
         table[k, counts["b"].to_numpy()] = counts[f"c{k}"].to_numpy()
     mean = max(1.0, table.sum() / RARITY)
     of = lambda c: np.clip(np.ceil(np.log2(16 * (c + 1) / mean)), 0, 15).astype(np.int8)
-    classes = docs.sparkSession.createDataFrame(pa.table({"classes": pa.array([of(table).ravel()], pa.list_(pa.int8()))}), "classes array<tinyint>")
+    classes = docs.sparkSession.createDataFrame(pa.table({"classes": pa.array([of(table).ravel().astype(np.int64) << HASH], pa.list_(pa.int64()))}), "classes array<bigint>")
     return stored(classes, "lineclasses").scalar(), (int(of(WARM * mean)), int(of(GROUP)))
 
 
 def class_of(classes: Column, h: Column) -> Column:
-    """The class of the bucket of a word's hash. Not null, so that arrays of keys are sorted as plain numbers."""
-    return F.coalesce(F.get(classes, h.bitwiseAND(F.lit(RARITY - 1)).cast("int")), F.lit(0).cast("tinyint"))
+    """The class of the bucket of a word's hash, above HASH bits. Not null, so that arrays of keys are sorted as plain numbers."""
+    return F.coalesce(classes[h.bitwiseAND(F.lit(RARITY - 1))], F.lit(0).cast("long"))
 
 
 @contextmanager
@@ -120,25 +120,23 @@ def nodes(docs: DataFrame, classes: Column | None, threshold: float, min_words:
     """(h1, n, prefix, bits, more): of each different line its name, size, prefix tokens in order of rarity, and parity bits."""
 
     def key(h: Column) -> Column:
-        return F.shiftleft(class_of(classes, h).cast("long"), HASH).bitwiseOR(F.shiftrightunsigned(h, 64 - HASH))
+        return class_of(classes, h).bitwiseOR(F.shiftrightunsigned(h, 64 - HASH))
 
-    def parity(keys: Column) -> Column:
-        return F.aggregate(keys, F.lit(0).cast("long"), lambda a, k: a.bitwiseXOR(_bit(k.bitwiseAND(F.lit(63)))))
+    def parity(keys: Column | str) -> Column:
+        return F.coalesce(F.aggregate(keys, F.lit(0).cast("long"), lambda a, k: a.bitwiseXOR(_bit(k.bitwiseAND(F.lit(63))))), F.lit(0))
 
-    def shape(keys: Column) -> Column:
-        """Everything that is told of a line's keys, which are computed once."""
-        n = F.size(keys)
-        size = (n - F.ceil(n * threshold - 1e-9) + _shared(n)).cast("int")
-        # of a long line either half tells about half the words
-        more = F.when(n > LONG, parity(F.filter(keys, lambda k: k.bitwiseAND(F.lit(64)) != 0))).otherwise(F.lit(0).cast("long"))
-        return F.struct(n.alias("n"), F.slice(keys, 1, size).alias("prefix"), F.coalesce(parity(keys), F.lit(0)).alias("all"), F.coalesce(more, F.lit(0)).alias("more"))
-
-    # lambdas aren't compiled: a word is hashed once in one of its own
-    hashes = F.array_remove(F.transform(F.split("line", " ", -1), lambda w: F.xxhash64(w)), F.xxhash64(F.lit("")))
+    # lambdas aren't compiled, nor what they are given, but what is exploded is: an array of one takes the sets of hashes
+    # and the sort out of lambdas, and classes are looked up once for each different word of a line
+    hashes = F.array_remove(F.array_distinct(F.transform(F.split("line", " ", -1), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
+    rows = lines_of(docs, id_col, text_col).select("h1", F.explode(F.array(hashes)).alias("keys"))
     with _subqueries_in_lambdas(docs.sparkSession):
-        keys = F.array_distinct(F.sort_array(F.transform(hashes, key) if classes is not None else hashes))
-        rows = lines_of(docs, id_col, text_col).select("h1", F.inline(F.transform(F.array(keys), shape)))
-    return rows.where(F.col("n") >= min_words).select("h1", "n", "prefix", F.col("all").bitwiseXOR(F.col("more")).alias("bits"), "more").distinct()
+        rows = rows.select("h1", F.explode(F.array(F.sort_array(F.transform("keys", key) if classes is not None else "keys"))).alias("keys"))
+    n = F.size("keys")
+    size = (n - F.ceil(n * threshold - 1e-9) + _shared(n)).cast("int")
+    # of a long line either half tells about half the words
+    more = F.when(n > LONG, parity(F.filter("keys", lambda k: k.bitwiseAND(F.lit(64)) != 0))).otherwise(F.lit(0).cast("long"))
+    shaped = rows.where(n >= min_words).select("h1", n.alias("n"), F.slice("keys", 1, size).alias("prefix"), parity("keys").alias("all"), more.alias("more"))
+    return shaped.select("h1", "n", "prefix", F.col("all").bitwiseXOR(F.col("more")).alias("bits"), "more").distinct()
 
 
 def _fits(a: str, b: str, threshold: float) -> Column:

@@ -13,3 +13,15 @@ def test_plans_dont_hold_the_table_of_word_counts(spark):
     before = spark.conf.get(linededup.IN_LAMBDAS, None)
     assert linededup.nodes(df, linededup.rarity(df, "text")[0], 0.8, 1, "doc_id", "text").count() == 3
     assert spark.conf.get(linededup.IN_LAMBDAS, None) == before
+
+
+def test_keys_are_made_distinct_and_sorted_outside_of_lambdas(spark):
+    df = spark.createDataFrame([(1, "a  b a c \n b"), (2, "a b\n" + " ".join(f"w{i}" for i in range(200)))], "doc_id long, text string")
+    found = linededup.nodes(df, linededup.rarity(df, "text")[0], 0.8, 1, "doc_id", "text")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "explode(array(sort_array(transform(keys" in plan and "explode(array(array_remove(array_distinct(" in plan
+    assert "inline(" not in plan and "cast((lambda" not in plan.split("sort_array")[1].split("explode")[0]
+    rows = sorted(found.collect(), key=lambda r: r["n"])
+    assert [(r["n"], len(r["prefix"])) for r in rows] == [(1, 1), (2, 1), (3, 1), (200, 43)]
+    assert all(r["prefix"] == sorted(set(r["prefix"])) for r in rows)
+    assert [bin(r["bits"] % 2**64).count("1") for r in rows[:1]] == [1] and rows[3]["more"] != 0
