@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parcella.llm import bpe, linededup, mixing, shingles, toxicity
-from parcella.llm.common import read_table, shared_path
+from parcella.llm.common import give_back, read_table, shared_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -27,7 +27,9 @@ def remeasured(docs: DataFrame) -> DataFrame:
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    give_back(spark)
     model = toxicity.fit(*toxicity.sample(docs, read_table(spark, sf_dir, "labels")))
+    give_back(spark)
     return toxicity.mark(docs.select(*COLUMNS), model, score_col="__toxicity").where("__toxicity < 0.5").select(*COLUMNS)
 
 
@@ -47,6 +49,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of every document, and whether they decode to its text."""
+    give_back(spark)
     coded = bpe.encode(docs.select("doc_id", "source", "text"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, decoded_col="decoded")
     same = F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary")
     return coded.select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", bpe.ids_digest(F.col("ids")).alias("ids_sha256"), same.alias("round_trip"))

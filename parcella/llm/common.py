@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parcella.session import checkpointed, passing, shared_path, stored  # noqa: F401
+from parcella.session import checkpointed, give_back, passing, shared_path, stored  # noqa: F401
 
 #: Rows of one Arrow batch for operators on whole texts: bounds what a Python worker holds at once.
 TEXT_BATCH = 256

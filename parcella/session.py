@@ -10,6 +10,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -32,7 +33,9 @@ def shared_dir(spark: SparkSession) -> str:
 def checkpointed(df: DataFrame, eager: bool = True) -> DataFrame:
     """df, cut from its lineage by a reliable checkpoint in the shared folder."""
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager)
+    out = df.checkpoint(eager)
+    give_back(df.sparkSession)
+    return out
 
 
 def shared_path(spark: SparkSession, label: str) -> str:
@@ -45,6 +48,21 @@ def shared_path(spark: SparkSession, label: str) -> str:
     return path
 
 
+def give_back(spark: SparkSession) -> str | None:
+    """Gives back to the system what the driver's JVM has freed outside its heap, compilers' work memory mostly, of which the C
+    library otherwise keeps some hundred MB. What the JVM says of it; None where it doesn't know the command."""
+    jvm, array = spark.sparkContext._jvm, spark.sparkContext._gateway.new_array
+    # by reflection, as the class of the server isn't an open one
+    call = next(m for m in jvm.java.lang.Class.forName("javax.management.MBeanServer").getMethods() if m.getName() == "invoke")
+    given = array(jvm.Object, 4)
+    given[0], given[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+    given[2], given[3] = array(jvm.Object, 0), array(jvm.String, 0)
+    try:
+        return call.invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), given)
+    except Py4JJavaError:
+        return None
+
+
 #: Paths of the tables that stored() has written within passing(); nothing is held outside of it.
 _held: list[list[str]] = []
 #: Removes a write's shuffle files when it ends, not when the driver happens to collect its garbage.
@@ -63,6 +81,7 @@ def stored(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
+    give_back(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
