@@ -60,11 +60,17 @@ def _bit(place: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("long"), place.cast("int"))
 
 
-def prepared(text: Column) -> Column:
-    """Lower case, and blanks for the other spaces within a line."""
+def _blanked(text: Column) -> tuple[Column, Column]:
+    """Whether there are other spaces within a line than blanks, and the text with blanks for them."""
     out, some = text, F.lit(False)
     for space in SPACES:
         out, some = F.replace(out, F.lit(space), F.lit(" ")), some | F.contains(text, F.lit(space))
+    return some, out
+
+
+def prepared(text: Column) -> Column:
+    """Lower case, and blanks for the other spaces within a line."""
+    some, out = _blanked(text)
     return F.when(some, F.lower(out)).otherwise(F.lower(text))  # looking for a space is much cheaper than replacing none
 
 
@@ -86,7 +92,10 @@ def rarity(docs: DataFrame, text_col: str) -> tuple[Column, tuple[int, int]]:
     sixteenth of the mean, shifted to its place in a key, as a scalar subquery of an array (see class_of): plans are kept as
     strings, literals included, but the value of a subquery isn't. And the classes from which a bucket is WARM times as full
     as the mean, and from which it may have more than GROUP words."""
-    words = docs.select(F.explode(F.split(F.replace(prepared(F.col(text_col)), F.lit("\n"), F.lit(" ")), " ", -1)).alias("w"))
+    some, out = _blanked(F.col(text_col))
+    # lower case is cheap where there is ASCII only, which holds for more lines than texts
+    lines = docs.select(F.explode(F.split(F.when(some, out).otherwise(F.col(text_col)), "\n", -1)).alias("line"))
+    words = lines.select(F.explode(F.split(F.lower("line"), " ", -1)).alias("w"))
     # four counts a row keep the rows within the 2^16 of the fast table of generated code
     part = lambda k: F.count(F.when(F.shiftright("h", 16).bitwiseAND(F.lit(3)) == k, 1)).alias(f"c{k}")
     counts = words.select(F.xxhash64("w").bitwiseAND(F.lit(RARITY - 1)).alias("h")).groupBy(F.col("h").bitwiseAND(F.lit(RARITY // 4 - 1)).alias("b")).agg(*map(part, range(4))).toArrow()
@@ -157,16 +166,24 @@ def _fits(a: str, b: str, threshold: float) -> Column:
 def candidates(docs: DataFrame, threshold: float, min_words: int, id_col: str, text_col: str) -> DataFrame:
     """Pairs of names that share a prefix token and may match (a < b, n of the shorter, no token), and the nodes of tokens that many share (token, a, n, left, bits, more)."""
     classes, (hot, full) = rarity(docs, text_col)
-    # an outer explode keeps the optimizer from asking first whether there is a prefix, which would compute it twice
-    tokens = nodes(docs, classes, threshold, min_words, id_col, text_col).select(F.posexplode_outer("prefix").alias("pos", "token"), "h1", "n", "bits", "more")
-    # what a join would infer is said here, so that all uses below share one shuffle
-    tokens = tokens.select("token", "h1", "n", (F.col("n") - F.col("pos")).alias("left"), "bits", "more").where("token is not null and left is not null")
+    found = nodes(docs, classes, threshold, min_words, id_col, text_col)
+
+    def tokens(rows: DataFrame) -> DataFrame:
+        # an outer explode keeps the optimizer from asking first whether there is a prefix, which would compute it twice
+        out = rows.select(F.posexplode_outer("prefix").alias("pos", "token"), "h1", "n", "bits", "more")
+        # what a join would infer is said here, so that all uses below share one shuffle
+        return out.select("token", "h1", "n", (F.col("n") - F.col("pos")).alias("left"), "bits", "more").where("token is not null and left is not null")
+
     warm = F.shiftright("token", HASH) >= hot
-    dealt = tokens.where(~warm).repartition("token")
+    dealt = tokens(found).where(~warm).repartition("token")
+    # the last token of a prefix is of its fullest bucket: few nodes are looked through again
+    warmed = tokens(found.where(F.when(F.spark_partition_id() >= 0, F.shiftright(F.get("prefix", F.size("prefix") - 1), HASH) >= hot))).where(warm)
     # what _fits asks of the shorter line, y, whatever the other; as the optimizer can't move it, both sides share one shuffle
     early = F.col("left") >= F.col("n") * (2 * threshold / (1 + threshold)) - 1e-9 - (_shared(F.col("n")) - 1)
     by_token = Window.partitionBy("token")
-    counts = lambda rows: rows.withColumn("rows", F.count("*").over(by_token)).withColumn("made", F.col("rows") * F.count(F.when(early, 1)).over(by_token))
+    # both counts in one projection are one pass over the rows
+    both = {"rows": F.count("*").over(by_token), "early": F.count(F.when(early, 1)).over(by_token)}
+    counts = lambda rows: rows.withColumns(both).withColumn("made", F.col("rows") * F.col("early")).drop("early")
     counted = counts(dealt)
     # tokens of a bucket of few words can't make so many pairs; their rows needn't be sorted once more to tell
     open_ = F.shiftright("token", HASH) >= full
@@ -175,7 +192,7 @@ def candidates(docs: DataFrame, threshold: float, min_words: int, id_col: str, t
     met = some.alias("x").join(dealt.where(F.when(F.spark_partition_id() >= 0, early)).alias("y"), (F.col("x.token") == F.col("y.token")) & longer & _fits("x", "y", threshold))
     none = lambda kind: F.lit(None).cast(kind)
     pairs = met.select(none("long").alias("token"), F.least("x.h1", "y.h1").alias("a"), F.greatest("x.h1", "y.h1").alias("b"), F.col("y.n"), none("int").alias("left"), none("long").alias("bits"), none("long").alias("more"))
-    many = counts(dealt.where(F.when(F.spark_partition_id() >= 0, open_))).where(F.col("made") > GROUP * GROUP).drop("rows", "made").unionByName(tokens.where(warm))
+    many = counts(dealt.where(F.when(F.spark_partition_id() >= 0, open_))).where(F.col("made") > GROUP * GROUP).drop("rows", "made").unionByName(warmed)
     return pairs.unionByName(many.select("token", F.col("h1").alias("a"), none("long").alias("b"), "n", "left", "bits", "more"))
 
 
@@ -200,8 +217,9 @@ def _placed(found: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> Da
 
 def _verified(pairs: DataFrame, ends: DataFrame, threshold: float) -> DataFrame:
     """(h1, h2) of the later ones (y) of pairs (x1, x2, y1, y2) of classes that are similar enough, by 64-bit hashes of words."""
+    asked = pairs  # a table: what the second round of the loop marks needs no join of the first
     for end in "xy":
-        sets = _marked(ends, pairs.select(F.col(f"{end}1").alias("h1")), "h1").where("__may")
+        sets = _marked(ends, asked.select(F.col(f"{end}1").alias("h1")), "h1").where("__may")
         pairs = pairs.join(sets.select(F.col("h1").alias(f"{end}1"), F.col("h2").alias(f"{end}2"), F.col("line").alias(f"{end}_line")), [f"{end}1", f"{end}2"])
     both = pairs.select("y1", "y2", F.explode(F.array(F.struct(*(_hashes(F.col(f"{e}_line")).alias(e) for e in "xy")))).alias("w"))
     sized = both.select("y1", "y2", F.size(F.array_intersect("w.x", "w.y")).alias("common"), (F.size("w.x") + F.size("w.y")).alias("sum"))
@@ -215,9 +233,11 @@ def _later(pairs: DataFrame, ends: DataFrame, threshold: float) -> DataFrame:
         pairs = pairs.join(at.select(F.col("h1").alias(end), F.struct("at", F.col("h1").alias("n1"), F.col("h2").alias("n2")).alias(f"{end}_at")), end)
     x, y = F.least("a_at", "b_at"), F.greatest("a_at", "b_at")
     placed = stored(pairs.where(~F.col("a_at.at").eqNullSafe(F.col("b_at.at"))).select(x["n1"].alias("x1"), x["n2"].alias("x2"), y["n1"].alias("y1"), y["n2"].alias("y2"), "shared"), "linepairs")
-    best = placed.groupBy("y1", "y2").agg(F.max(F.struct("shared", "x1", "x2")).alias("m")).select("m.x1", "m.x2", "y1", "y2")
+    # written, as _verified reads what it is given once for each end and once more
+    best = stored(placed.groupBy("y1", "y2").agg(F.max(F.struct("shared", "x1", "x2")).alias("m")).select("m.x1", "m.x2", "y1", "y2"), "linebest")
     sure = stored(_verified(best, ends, threshold), "linenear")
     rest = placed.join(sure.select(F.col("h1").alias("y1"), F.col("h2").alias("y2")), ["y1", "y2"], "left_anti").join(best, ["x1", "x2", "y1", "y2"], "left_anti")
+    rest = stored(rest.select("x1", "x2", "y1", "y2"), "linerest")
     return sure.unionByName(stored(_verified(rest, ends, threshold), "linenear"))
 
 
